@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kantar.llm import chat_format, secrets
+from kantar.llm import chat_format, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op3_simhash": simhash.op3_simhash,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
