@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kantar.llm import chat_format, secrets, simhash
+from kantar.llm import chat_format, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op3_simhash": simhash.op3_simhash,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
