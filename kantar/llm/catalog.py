@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kantar.llm import chat_format, secrets, simhash, suffix_dedup
+from kantar.llm import chat_format, knn_join, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_voronoi_knn": knn_join.op2_voronoi_knn,
         "op3_simhash": simhash.op3_simhash,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secrets.OP1_SQL,
+        "op2_voronoi_knn": knn_join.OP2_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
     }
