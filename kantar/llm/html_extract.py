@@ -326,13 +326,8 @@ def style_trees(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return entropy("look", "presentation").join(entropy("said", "content").drop("pages"), ["host", "place"])
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [
-            main_text(parse(text or ""), frozenset() if gone is None else frozenset(gone.tolist() if hasattr(gone, "tolist") else gone))
-            for text, gone in zip(batch["html"], batch["removed"])
-        ]
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
+def _extract(htmls: pd.Series, removed: pd.Series) -> pd.Series:
+    return pd.Series([main_text(parse(text or ""), frozenset(() if gone is None else gone)) for text, gone in zip(htmls, removed)], dtype=object)
 
 
 def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -351,9 +346,7 @@ def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         own = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")
         held = rows.withColumn("salt", own).join(salted, ["host", "salt"], "left")
-    kind = pages.schema[page_id].dataType.simpleString()
-    out = held.select("page_id", "url", "html", "removed").mapInPandas(_extract, f"page_id {kind}, url string, text string")
-    return out.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text")
+    return held.select(F.col("page_id").alias(page_id), F.col("url").alias(url), F.pandas_udf(_extract, "string")("html", "removed").alias("text"))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

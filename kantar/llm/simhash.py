@@ -74,13 +74,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), printed(F.col(text)).alias("fp"))
 
 
 def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:

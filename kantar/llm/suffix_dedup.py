@@ -310,20 +310,23 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], far[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc, text, spans in zip(batch["id"], batch["text"], batch["spans"]):
-            data = _raw(text)
-            places = [] if spans is None else [(s["start"], s["stop"]) for s in spans]
-            runs = merged(np.array(places, np.int64).reshape(-1, 2))
-            kept, at = [], 0
-            for start, stop in runs.tolist():
-                kept.append(data[at:start])
-                at = stop
-            kept.append(data[at:])
-            out.append((doc, len(data), int((runs[:, 1] - runs[:, 0]).sum()), b"".join(kept), [{"start": a, "stop": b} for a, b in runs.tolist()]))
-        yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "kept", "removed"])
+APPLIED = "n_bytes long, n_removed long, kept binary, removed array<struct<start:int,stop:int>>"
+
+
+def _apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, found in zip(texts, spans):
+        data = _raw(text)
+        places = [] if found is None else [(s["start"], s["stop"]) for s in found]
+        runs = merged(np.array(places, np.int64).reshape(-1, 2))
+        kept, at = [], 0
+        for start, stop in runs.tolist():
+            kept.append(data[at:start])
+            at = stop
+        kept.append(data[at:])
+        gone = [{"start": a, "stop": b} for a, b in runs.tolist()]
+        out.append((len(data), int((runs[:, 1] - runs[:, 0]).sum()), b"".join(kept), gone))
+    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "kept", "removed"])
 
 
 def dedup_substrings(
@@ -333,11 +336,9 @@ def dedup_substrings(
 
     ``kept`` holds the remaining bytes, ``removed`` the removed ranges in order.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    held = rows.join(repeated_spans(docs, text, width, hot_names), "tid", "left").select("id", "text", "spans")
-    schema = f"id {kind}, n_bytes long, n_removed long, kept binary, removed array<struct<start:int,stop:int>>"
-    return held.mapInPandas(_apply, schema).withColumnRenamed("id", id_col)
+    held = rows.join(repeated_spans(docs, text, width, hot_names), "tid", "left")
+    return held.select("id", F.pandas_udf(_apply, APPLIED)("text", "spans").alias("x")).select(F.col("id").alias(id_col), "x.*")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

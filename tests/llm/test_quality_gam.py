@@ -1,0 +1,47 @@
+from __future__ import annotations
+
+import math
+import zlib
+
+import numpy as np
+
+from kantar.llm import quality_gam as Q
+
+
+def test_tables_learn_a_pair_effect():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (4000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = Q.train(x[:3000], y[:3000])
+    assert (1, 0) in model.pairs or (0, 1) in model.pairs
+    assert ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_figures_of_odd_texts():
+    for text in [None, "", " ", "\n\n", "a", "é" * 10, "word " * 200_000]:
+        assert len(Q.figures(text)) == len(Q.FIGURES) and all(map(math.isfinite, Q.figures(text)))
+
+
+def test_without_labels_or_with_one_kind(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (None, None, 6), (3, "", 7), (3, "", 7)], "doc_id long, text string, y int")
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.quality_score for r in Q.score(docs, Q.fit(docs, empty)).collect()} == {0.5}
+    ones = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (3, None), (3, 1), (99, 0)], "doc_id long, quality int")
+    out = Q.score(docs, Q.fit(docs, ones)).collect()
+    assert len(out) == 4 and all(r.quality_score > 0.99 for r in out)
+    assert Q.score(docs.limit(0), Q.fit(docs.limit(0), ones)).count() == 0
+
+
+def test_long_ids_next_to_null_ones_stay(spark):
+    docs = spark.createDataFrame([(2**62 + 1, "a"), (None, "b")], "doc_id long, text string")
+    assert {r.doc_id for r in Q.score(docs, Q.Gam()).collect()} == {2**62 + 1, None}
+
+
+def test_held_out_accuracy_on_whole_table(spark):
+    where = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    out = Q.op7_quality(spark, where).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    held = [(r.predicted, truth[r.doc_id]) for r in out if r.held_out and r.doc_id in truth]
+    assert np.mean([p == t for p, t in held]) > 0.98
