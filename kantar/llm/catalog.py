@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kantar.llm import chat_format, html_extract, knn_join, quality_gam, secrets, simhash, suffix_dedup
+from kantar.llm import chat_format, decontaminate, html_extract, knn_join, quality_gam, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_quality": quality_gam.op7_quality,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_html_extract": html_extract.op10_html_extract,
     }
