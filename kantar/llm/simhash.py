@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kantar.llm.components import components
-from kantar.llm.shared import cut, table
+from kantar.llm.shared import cut, table, text_id
 
 SEED = 42
 BUDGET = 3
@@ -97,8 +97,11 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def _compare(keys: np.ndarray, labels: np.ndarray, pairs: np.ndarray, budget: int) -> None:
-    """Compare directly what node pairs (a_lo, a_hi, b_lo, b_hi) hold."""
+def _compare(keys: np.ndarray, labels: np.ndarray, pairs: np.ndarray, budget: int, rest: np.ndarray | None, whole: int) -> None:
+    """Compare directly what node pairs (a_lo, a_hi, b_lo, b_hi) hold.
+
+    ``rest``: further words of each fingerprint; all bits may differ in ``whole`` places.
+    """
     sizes = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
     total = np.cumsum(sizes)
     at = 0
@@ -109,12 +112,19 @@ def _compare(keys: np.ndarray, labels: np.ndarray, pairs: np.ndarray, budget: in
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(some[:, 3] - some[:, 2], n)
         i, j = np.repeat(some[:, 0], n) + k // width, np.repeat(some[:, 2], n) + k % width
-        near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-        _merge(labels, i[near], j[near])
+        bits = np.bitwise_count(keys[i] ^ keys[j])
+        near = (bits <= budget) & (i != j)
+        i, j = i[near], j[near]
+        if rest is not None:
+            fits = bits[near] + np.bitwise_count(rest[i] ^ rest[j]).sum(1, dtype=np.int64) <= whole
+            i, j = i[fits], j[fits]
+        _merge(labels, i, j)
         at = to
 
 
-def walk(keys: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarray:
+def walk(
+    keys: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDGET, rest: np.ndarray | None = None, whole: int = 0
+) -> np.ndarray:
     """Labels of the local components over node pairs.
 
     ``keys``: fingerprints, sorted within each node. ``nodes``: rows of a_lo,
@@ -129,7 +139,7 @@ def walk(keys: np.ndarray, nodes: np.ndarray, depth: int, budget: int = BUDGET)
         front, sizes = front[~(own & (sizes <= 1))], sizes[~(own & (sizes <= 1))]
         small = (sizes <= LEAF_PAIRS) | (depth == 64)
         if small.any():
-            _compare(keys, labels, front[small, :4], budget)
+            _compare(keys, labels, front[small, :4], budget, rest, whole)
         front = front[~small]
         if not len(front):
             break
@@ -269,6 +279,147 @@ def simhash_groups(
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+#: Words of a wide fingerprint: 512 bits estimate a similarity closely enough to decide by.
+WIDE = 8
+#: Bits that lead a trie of wide fingerprints, at least; more as there are more texts.
+LEAST_LEAD = 12
+#: Share of the pairs at the least similarity that must meet in a trie.
+MEET = 0.99
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """The fingerprint of ``WIDE`` words: further hashes are derived from each shingle's XXH64."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    if not parts:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
+    if len(parts) < words:
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        starts, ends = begin[: len(parts) - words + 1].tolist(), (begin + sizes)[words - 1 :].tolist()
+        hashes = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+    step = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        x = hashes[at : at + (1 << 13), None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        # uint8 sums of at most 255 rows are exact and quick.
+        bits = np.unpackbits(x.view(np.uint8), axis=1)
+        edges = np.arange(0, len(bits), 255)
+        counts += np.add.reduceat(bits, edges, axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
+
+
+def _differing(similarity: float) -> float:
+    """The share of bits that differ between texts of this Jaccard similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return float(np.arccos(cosine) / np.pi)
+
+
+def _near_links(budget: int, whole: int):
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        prints = np.frombuffer(b"".join(part["print"]), np.uint64).reshape(-1, WIDE)
+        ids = part[["trie", "u", "v"]].to_numpy(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(1))))
+        last = np.append(first[1:], len(part))
+        mid = last - np.add.reduceat(part["side"].to_numpy(np.int64), first)
+        own = mid == last
+        nodes = np.stack([first, np.where(own, last, mid), np.where(own, first, mid), last, np.zeros(len(first), np.int64)], 1)
+        nodes = nodes[(nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3])]
+        # The walk needs the first words in order within each side.
+        key = prints[:, 0].byteswap()
+        order = np.lexsort((key, part["side"].to_numpy(), np.repeat(np.arange(len(first)), last - first)))
+        labels = walk(key[order], nodes, 0, budget, prints[order, 1:], whole)
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        tids = part["tid"].to_numpy()[order]
+        return pd.DataFrame({"a": tids[linked], "b": tids[labels[linked]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            ids = held[["trie", "u", "v"]].to_numpy(np.int64)
+            edge = np.flatnonzero((ids != ids[-1]).any(1))
+            whole_rows = int(edge[-1]) + 1 if len(edge) else 0
+            if whole_rows >= NODE_ROWS:
+                yield solve(held.iloc[:whole_rows].reset_index(drop=True))
+                held = held.iloc[whole_rows:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield solve(held)
+
+    return run
+
+
+def near_groups(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(tid, root): for every text that has near duplicates, its group. ``tid`` is ``text_id`` of the text.
+
+    Three of 64 bits are far less than what texts of a Jaccard similarity of 0.8
+    differ in, so this form has 512 bits. Each trie is led by bits drawn from all
+    of them, in numbers that let a pair at the least similarity meet in one trie
+    at least with the probability ``MEET``; node pairs then descend the first
+    64 bits, and what the budget leaves is compared over all bits. The budgets
+    lie three, and for all bits one and a quarter, standard deviations above what
+    the least similarity makes differ. A node of more than ``node_rows`` texts is
+    dealt out as pairs of slices.
+    """
+    texts = docs.select(text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
+
+    @F.pandas_udf("binary")
+    def printed(rows: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, words).tobytes() for t in rows], dtype=object)
+
+    prints = cut(texts.select("tid", printed("text").alias("print")).groupBy("tid").agg(F.first("print").alias("print")), "near-prints")
+    p, n = _differing(similarity), prints.count()
+    lead = max(LEAST_LEAD, int(np.ceil(np.log2(max(1, n) / 64))))
+    tries = int(np.ceil(np.log(1 - MEET) / np.log(1 - (1 - p) ** lead)))
+    budget = int(64 * p + 3 * np.sqrt(64 * p * (1 - p)))
+    whole = int(64 * WIDE * p + 1.25 * np.sqrt(64 * WIDE * p * (1 - p)))
+    rng = np.random.default_rng(SEED)
+    picks = np.stack([rng.choice(64 * WIDE, lead, replace=False) for _ in range(tries)])
+    weights = (1 << np.arange(lead, dtype=np.int64))[::-1]
+
+    @F.pandas_udf("array<long>")
+    def leads(rows: pd.Series) -> pd.Series:
+        bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1)
+        return pd.Series(list((bits[:, picks].astype(np.int64) * weights).sum(2)))
+
+    nodes = prints.select("tid", "print", F.posexplode(leads("print")).alias("trie", "lead"))
+    large = cut(nodes.groupBy("trie", "lead").count().where(F.col("count") > node_rows), "near-large")
+    if large.limit(1).count():
+        slices = F.ceil(F.col("count") / node_rows)
+        dealt = nodes.join(large, ["trie", "lead"], "left").withColumn("n", F.coalesce(slices, F.lit(1)))
+        mine = F.pmod(F.xxhash64("tid"), F.col("n"))
+        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        u = F.struct("lead", F.least("mine", "other").alias("s"))
+        nodes = dealt.select(
+            "tid", "print", "trie", F.xxhash64(u).alias("u"), F.greatest("mine", "other").alias("v"), (F.col("mine") > F.col("other")).cast("int").alias("side")
+        )
+    else:
+        nodes = nodes.select("tid", "print", "trie", F.col("lead").alias("u"), F.lit(0).cast("long").alias("v"), F.lit(0).alias("side"))
+    met = nodes.repartition("trie", "u", "v").sortWithinPartitions("trie", "u", "v", "side")
+    links = met.mapInPandas(_near_links(budget, whole), "a binary, b binary")
+    roots = components(links, "near-links").select(F.col("a").alias("tid"), F.col("b").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("tid"), "root").distinct())
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near duplicates, copies and repeated rows: the one of least id, nulls last.
+
+    Ties of the id go to the least text id. The columns are those of ``docs``.
+    """
+    groups = near_groups(docs, text, words, similarity)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("id"), text_id(F.col(text)).alias("tid"))
+    placed = rows.join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    kept = placed.groupBy("root").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "tid")).alias("row"))
+    return kept.select("row.*")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

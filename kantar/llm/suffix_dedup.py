@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kantar.llm.shared import cut, table
+from kantar.llm.shared import cut, table, text_id
 
 WIDTH = 400
 GRAM = 32
@@ -248,10 +248,6 @@ def _each_string(width: int):
     return run
 
 
-def text_id(text: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
-
-
 def repeated_spans(
     docs: DataFrame, text: str = "text", width: int = WIDTH, hot_names: int = HOT_NAMES
 ) -> DataFrame:

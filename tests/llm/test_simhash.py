@@ -98,3 +98,48 @@ def test_components_of_a_chain_and_a_star(spark):
     df = spark.createDataFrame(chain, "a long, b long")
     got = {r.a: r.b for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{k: 1000 for k in range(1001, 1400)}}
+
+
+def _edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def _jaccard(a, b):
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    x, y = grams(a.lower()), grams(b.lower())
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("node_rows", [simhash.NODE_ROWS, 5])
+def test_near_groups_find_similar_texts_and_leave_others(spark, node_rows):
+    rng = random.Random(8)
+    texts = []
+    for g in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        texts.append((g, " ".join(base)))
+        for k in (1, 2):
+            texts.append((g, " ".join(_edited(rng, base, max(1, len(base) * k // 150)))))
+    texts += [(100 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(1, 200)))) for i in range(150)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    ids = df.withColumn("tid", simhash.text_id(df.text))
+    got = {r.doc_id: r.root for r in ids.join(simhash.near_groups(df, node_rows=node_rows), "tid", "left").collect()}
+    pairs = [(i, j) for i in range(120) for j in range(i) if texts[i][0] == texts[j][0] and _jaccard(texts[i][1], texts[j][1]) >= 0.8]
+    assert len(pairs) > 60 and np.mean([got[i] is not None and got[i] == got[j] for i, j in pairs]) >= 0.97
+    named = {}
+    for i, root in got.items():
+        if root is not None:
+            named.setdefault(bytes(root), set()).add(texts[i][0])
+    assert all(len(g) == 1 for g in named.values())
+
+
+def test_keep_one(spark):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(5, long, 1, "x"), (3, long + " end", 2, "y"), (None, long, 3, "z"), (7, "", 4, None), (6, None, 5, None), (8, "unlike the rest", 6, None), (8, "unlike the rest", 6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tid int, root string")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.tid) for r in out.collect()) == [(3, 2), (6, 5), (8, 6)]
+    assert simhash.keep_one(df.limit(0)).count() == 0
