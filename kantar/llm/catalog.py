@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from kantar.llm import chat_format, decontaminate, html_extract, knn_join, quality_gam, secrets, simhash, suffix_dedup
+import corpus_pipeline
+from kantar.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    knn_join,
+    line_dedup,
+    mixing,
+    quality_gam,
+    secrets,
+    simhash,
+    suffix_dedup,
+)
 
 
 def queries() -> dict:
@@ -10,11 +22,14 @@ def queries() -> dict:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_voronoi_knn": knn_join.op2_voronoi_knn,
         "op3_simhash": simhash.op3_simhash,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_mixing": mixing.op5_mixing,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_quality": quality_gam.op7_quality,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_html_extract": html_extract.op10_html_extract,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kantar.llm.shared import table
+from kantar.llm.shared import fresh, table
 
 GRAM = 10
 ERROR_RATE = 0.08
@@ -197,9 +197,11 @@ def _search(docs: DataFrame, text: str, index: Index, ids: list[list], id_kind:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", hits: str = "hits", part_chars: int = PART_CHARS
 ) -> DataFrame:
-    """``docs`` with ``hits``: the items that a document holds, their edits and where in the normalised text they end."""
-    if hits in docs.columns:
-        raise ValueError(f"the input has a column {hits} already")
+    """``docs`` and last ``hits``: the items that a document holds, their edits and where in the normalised text they end.
+
+    Where that name is taken, the column gets an underscore more.
+    """
+    hits = fresh(hits, docs.columns)
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     chars = items.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
     parts = max(1, math.ceil(chars / part_chars))
@@ -212,7 +214,7 @@ def contaminated(
             if len(t := normal(r.t)) >= GRAM and r.id not in (known := by_text.setdefault(t, [])):
                 known.append(r.id)
         if by_text:
-            names.append(f"_{hits}_{p}")
+            names.append(fresh(f"_{hits}_{p}", out.columns))
             out = _search(out, text, build(list(by_text)), list(by_text.values()), kind, names[-1])
     empty = F.array().cast(f"array<struct<item_id:{kind},edits:int,stop:int>>")
     return out.withColumn(hits, F.concat(*[F.col(n) for n in names]) if names else empty).drop(*names)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kantar.llm.shared import table
+from kantar.llm.shared import fresh, table
 
 SAMPLE_ROWS = 20_000
 BINS = 32
@@ -203,21 +203,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     # At most SAMPLE_ROWS ids, so the broadcast is bounded.
     told = rows.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "y", measured("text").alias("x"))
-    got = told.orderBy("id").toPandas()
+    got = told.toPandas().sort_values("id")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FIGURES))
     return train(x, got["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Gam, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, a double from 0 to 1."""
-    if "quality_score" in docs.columns:
-        raise ValueError("the input has a column quality_score already")
+    """All columns of ``docs``, and last ``quality_score``, a double from 0 to 1.
+
+    Where that name is taken, the score's column gets an underscore more.
+    """
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(_matrix(texts)))
 
-    return docs.withColumn("quality_score", scored(F.col(text)))
+    return docs.withColumn(fresh("quality_score", docs.columns), scored(F.col(text)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -40,3 +40,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def text_id(text: Column) -> Column:
     """The address of a text: 16 bytes of its SHA-256; null counts as empty."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended while a column of that name exists (in either case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
