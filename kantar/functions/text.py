@@ -30,6 +30,11 @@ def _bare_letters() -> tuple[str, str]:
 MARKED, BARE = _bare_letters()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_space(c: Column) -> Column:
     """Without white space of any kind at the ends (``trim`` knows the space only)."""
     return F.regexp_replace(F.regexp_replace(c, r"^[\s\u001c-\u001f]+", ""), r"[\s\u001c-\u001f]+$", "")
@@ -74,30 +79,38 @@ def parse_quantity(c: Column) -> Column:
     decimal points.
     """
     plainer = F.replace(F.replace(latin_lower(c), F.lit("×"), F.lit("x")), F.lit("\u00a0"), F.lit(" "))
-    text = F.regexp_replace(plainer, r"\s+", " ")
-    many = F.regexp_like(text, F.lit(MULTIPACK))
-    pick = lambda multi, single: F.when(many, F.regexp_extract(text, MULTIPACK, multi)).otherwise(F.regexp_extract(text, SINGLE, single))
-    amount, unit = pick(2, 1), pick(3, 2)
-    count = F.when(many, F.regexp_extract(text, MULTIPACK, 1)).otherwise(F.lit("1")).try_cast("decimal(10,0)")
-    gram = unit.rlike("^(kg|kilogram.*|g|gr|gram.*)$")
-    millilitre = unit.rlike("^(ml|mililit.*|l|litar.*|litr.*)$")
-    large = unit.rlike("^(kg|kilogram.*|l|litar.*|litr.*)$")
-    grouped = ~large & amount.rlike(r"^[1-9][0-9]{0,2}(\.[0-9]{3})+$")
-    plain = F.when(grouped, F.replace(amount, F.lit("."), F.lit(""))).otherwise(F.replace(amount, F.lit(","), F.lit(".")))
-    value = (plain.try_cast("decimal(14,4)") * F.when(large, F.lit(1000)).otherwise(F.lit(1)) * count).cast("decimal(14,4)")
-    named = F.when(gram, "g").when(millilitre, "ml").otherwise("piece")
-    return F.when((unit != "") & (value > 0), F.struct(value.alias("value"), named.alias("unit")))
+
+    def parts(text: Column) -> Column:
+        many = F.regexp_like(text, F.lit(MULTIPACK))
+        pick = lambda multi, single: F.when(many, F.regexp_extract(text, MULTIPACK, multi)).otherwise(F.regexp_extract(text, SINGLE, single))
+        count = F.when(many, F.regexp_extract(text, MULTIPACK, 1)).otherwise(F.lit("1"))
+        return F.struct(pick(2, 1).alias("amount"), pick(3, 2).alias("unit"), count.alias("count"))
+
+    def quantity(p: Column) -> Column:
+        amount, unit = p["amount"], p["unit"]
+        large = unit.rlike("^(kg|kilogram.*|l|litar.*|litr.*)$")
+        grouped = ~large & amount.rlike(r"^[1-9][0-9]{0,2}(\.[0-9]{3})+$")
+        plain = F.when(grouped, F.replace(amount, F.lit("."), F.lit(""))).otherwise(F.replace(amount, F.lit(","), F.lit(".")))
+        value = plain.try_cast("decimal(14,4)") * F.when(large, F.lit(1000)).otherwise(F.lit(1)) * p["count"].try_cast("decimal(10,0)")
+        named = (
+            F.when(unit.rlike("^(kg|kilogram.*|g|gr|gram.*)$"), "g").when(unit.rlike("^(ml|mililit.*|l|litar.*|litr.*)$"), "ml").otherwise("piece")
+        )
+        return F.when((unit != "") & (value > 0), F.struct(value.cast("decimal(14,4)").alias("value"), named.alias("unit")))
+
+    return let(let(F.regexp_replace(plainer, r"\s+", " "), parts), quantity)
 
 
 def is_ean(c: Column) -> Column:
     """Is the text an EAN-8 or EAN-13 with the right check digit, and not all zeros?"""
-    code = strip_space(F.coalesce(c, F.lit("")))
-    shaped = code.rlike("^([0-9]{8}|[0-9]{13})$") & ~code.rlike("^0+$")
-    digits = F.transform(F.split(F.reverse(F.when(shaped, code).otherwise(F.lit("0"))), ""), lambda d: d.cast("int"))
-    total = F.aggregate(
-        F.transform(digits, lambda d, k: F.when(k == 0, F.lit(0)).otherwise(d * F.when(k % 2 == 1, F.lit(3)).otherwise(F.lit(1)))), F.lit(0), lambda a, x: a + x
-    )
-    return shaped & ((F.lit(10) - total % 10) % 10 == F.get(digits, F.lit(0)))
+
+    def check(code: Column) -> Column:
+        shaped = code.rlike("^([0-9]{8}|[0-9]{13})$") & ~code.rlike("^0+$")
+        digits = F.transform(F.split(F.reverse(F.when(shaped, code).otherwise(F.lit("0"))), ""), lambda d: d.cast("int"))
+        weighed = F.transform(digits, lambda d, k: F.when(k == 0, F.lit(0)).otherwise(d * F.when(k % 2 == 1, F.lit(3)).otherwise(F.lit(1))))
+        total = F.aggregate(weighed, F.lit(0), lambda a, x: a + x)
+        return shaped & ((F.lit(10) - total % 10) % 10 == F.get(digits, F.lit(0)))
+
+    return let(strip_space(F.coalesce(c, F.lit(""))), check)
 
 
 def normalize_barcode(c: Column) -> Column:
@@ -120,21 +133,22 @@ def _absent(c: Column) -> Column:
 
 def parse_decimal(c: Column, kind: str = "decimal(12,2)") -> Column:
     """A number as people write it: the last comma or dot is the decimal point. Rounds half up; null if absent or wrong."""
-    text = clean_text(c)
-    compact = F.regexp_replace(text, "[\u00a0 ]", "")
-    comma = F.length(compact) - F.length(F.replace(compact, F.lit(","), F.lit("")))
-    dot = F.length(compact) - F.length(F.replace(compact, F.lit("."), F.lit("")))
-    last_is_comma = F.instr(F.reverse(compact), ",") < F.instr(F.reverse(compact), ".")
-    only = lambda sep: F.regexp_replace(compact, rf"[{sep}](?=.*[{sep}])", "")
-    plain = (
-        F.when((comma > 0) & (dot > 0) & last_is_comma, F.replace(F.replace(compact, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((comma > 0) & (dot > 0), F.replace(compact, F.lit(","), F.lit("")))
-        .when(comma > 0, F.replace(only(","), F.lit(","), F.lit(".")))
-        .when(dot > 0, only("."))
-        .otherwise(compact)
-    )
     scale = int(kind.rstrip(")").split(",")[1])
-    return F.when(~_absent(text), F.round(plain.try_cast(f"decimal(24,{scale + 6})"), scale).cast(kind))
+    only = lambda text, sep: F.regexp_replace(text, rf"[{sep}](?=.*[{sep}])", "")
+
+    def number(x: Column) -> Column:
+        comma, dot = F.contains(x, F.lit(",")), F.contains(x, F.lit("."))
+        last_is_comma = F.instr(F.reverse(x), ",") < F.instr(F.reverse(x), ".")
+        plain = (
+            F.when(comma & dot & last_is_comma, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(comma & dot, F.replace(x, F.lit(","), F.lit("")))
+            .when(comma, F.replace(only(x, ","), F.lit(","), F.lit(".")))
+            .when(dot, only(x, "."))
+            .otherwise(x)
+        )
+        return F.round(plain.try_cast(f"decimal(24,{scale + 6})"), scale).cast(kind)
+
+    return let(clean_text(c), lambda text: F.when(~_absent(text), let(F.regexp_replace(text, "[\u00a0 ]", ""), number)))
 
 
 def decimal_is_wrong(c: Column) -> Column:
