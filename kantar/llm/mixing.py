@@ -21,8 +21,9 @@ third of all rows is spread over as many tasks as it has blocks.
 
 Tokens are runs of characters that are not white space. Defined results: a null
 text has none; documents without tokens use no budget and come in whole epochs
-only; a source without tokens is read once; a null source is a source; repeated
-rows and shared or null ids each occur by themselves. Empty input gives no rows.
+only; a source without tokens is read once; a null source is a source; rows with
+shared or null ids each occur by themselves, but rows repeated in all columns are
+read together, at one place. Empty input gives no rows.
 Columns of the input are kept whatever their names.
 """
 
@@ -111,34 +112,47 @@ def mix(
 
     Where one of these names is taken, the added column gets an underscore more.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    at = lambda name: F.col(f"c{docs.columns.index(name)}")
+    hashed = [F.col(f"`{c}`") for c in docs.columns if not _hashless(docs, c)]
     rows = docs.select(
-        row.alias("row"), F.col(source).alias("s"), token_count(F.col(text)).alias("tokens"), F.xxhash64(F.lit(seed), F.col(text), *[F.col(f"`{c}`") for c in docs.columns if not _hashless(docs, c)]).alias("h")
+        # Numbered names cannot clash, and what is not asked for in the end is pruned.
+        *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)],
+        # 128 bits, so that rows that differ never share a key in practice.
+        F.xxhash64(F.lit(seed), *hashed).alias("h"),
+        F.xxhash64(F.lit(seed + 1), *hashed).alias("h2"),
     )
-    plan = budgets(rows.select("s", "tokens"), "s", "tokens", max_repeats, target_entropy)
-    plan = cut(plan, "mix-plan")
+    # Places are found without the texts, which join them in the end, once.
+    narrow = cut(
+        rows.select("h", "h2", at(source).alias("s"), token_count(at(text)).alias("own"))
+        .groupBy("h", "h2")
+        .agg(F.first("s").alias("s"), F.first("own").alias("own"), F.sum("own").alias("tokens")),
+        "mix-rows",
+    )
+    plan = cut(budgets(narrow, "s", "tokens", max_repeats, target_entropy), "mix-plan")
     held = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    dealt = rows.join(held, F.col("s").eqNullSafe(F.col("source"))).withColumn("block", F.pmod("h", "blocks"))
+    dealt = narrow.join(held, F.col("s").eqNullSafe(F.col("source"))).withColumn("block", F.pmod("h", "blocks"))
     read = F.explode(F.sequence(F.lit(0), F.col("epochs") - F.when(F.col("part") > 0, 0).otherwise(1)))
     blocks = dealt.groupBy("s", "block", "n", "epochs", "part").agg(F.sum("tokens").alias("size"))
     along = Window.partitionBy("s", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         blocks.withColumn("epoch", read)
         .withColumn("turn", F.xxhash64(F.lit(seed), "s", "epoch", "block"))
-        .select(F.col("s").alias("bs"), F.col("epoch").alias("be"), F.col("block").alias("bb"), F.coalesce(F.sum("size").over(along), F.lit(0)).alias("before"), "size")
+        .withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0)))
         # Blocks that start beyond the part are not read in the last epoch.
-        .join(plan.select(F.col("source").alias("ps"), F.col("epochs").alias("pe"), "part"), F.col("bs").eqNullSafe(F.col("ps")))
-        .where((F.col("be") < F.col("pe")) | (F.col("before") < F.col("part")))
-        .select("bs", "be", "bb", "before")
+        .where((F.col("epoch") < F.col("epochs")) | (F.col("before") < F.col("part")))
+        .select(F.col("s").alias("bs"), F.col("epoch").alias("be"), F.col("block").alias("bb"), "before")
     )
     every = dealt.withColumn("epoch", read)
     placed = every.join(before, F.col("s").eqNullSafe(F.col("bs")) & (F.col("epoch") == F.col("be")) & (F.col("block") == F.col("bb")))
-    inside = Window.partitionBy("s", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "h", "epoch"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("s", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "h", "epoch"), "h", "h2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     told = placed.withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
     kept = told.where((F.col("epoch") < F.col("epochs")) | ((F.col("upto") <= F.col("part")) & (F.col("tokens") > 0)))
     place = (F.col("epoch") * F.col("n") + F.col("upto") - F.col("tokens")) / F.greatest("budget", F.lit(1)).cast("double")
-    added = {"tokens": F.col("tokens"), "epoch": F.col("epoch").cast("int"), "place": place, "weight": F.col("weight")}
-    return kept.select("row.*", *[value.alias(fresh(name, docs.columns)) for name, value in added.items()])
+    # A document has at most max_repeats readings and one, so this list is bounded.
+    readings = kept.groupBy("h", "h2", "weight", "own").agg(F.collect_list(F.struct(F.col("epoch").cast("int").alias("epoch"), place.alias("place"))).alias("readings"))
+    out = rows.join(readings, ["h", "h2"]).withColumn("x", F.explode("readings"))
+    added = {"tokens": F.col("own"), "epoch": F.col("x.epoch"), "place": F.col("x.place"), "weight": F.col("weight")}
+    return out.select(*[at(c).alias(c) for c in docs.columns], *[value.alias(fresh(name, docs.columns)) for name, value in added.items()])
 
 
 def _hashless(docs: DataFrame, name: str) -> bool:

@@ -1,0 +1,148 @@
+"""Scenarios on tiny tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from kantar.functions.geo import haversine_m, within
+from kantar.operators import matching, plans, pricing, stores, upsert
+
+
+def D(x):  # noqa: N802
+    return None if x is None else Decimal(x)
+
+
+PRICE = "price_id long, product_id long, retailer_id long, price_date date, regular_price decimal(12,2), discounted_price decimal(12,2), discount_start date, discount_end date, store_id long, format_name string"
+
+
+@pytest.mark.parametrize(("day", "scope", "value"), [("2026-08-03", "STORE", "60"), ("2026-08-05", "STORE", "80"), ("2026-07-31", None, None)])
+def test_price_scopes(spark, day, scope, value):
+    d = dt.date(2026, 8, 1)
+    rows = [(1, 1, 1, d, D(100), None, None, None, None, None), (2, 1, 1, d, D(90), None, None, None, None, " pilot FORMAT "), (3, 1, 1, d, D(80), D(60), d, dt.date(2026, 8, 4), 7, None)]
+    place = spark.createDataFrame([(7, 1, "Pilot format", "PF"), (8, 1, "Other", "O")], "store_id long, retailer_id long, format_name string, format_code string")
+    got = {r.store_id: (r.price_scope, r.effective_price) for r in pricing.scoped_prices(spark.createDataFrame(rows, PRICE), place, F.lit(day).cast("date")).collect()}
+    assert got.get(7, (None, None)) == (scope, D(value))
+    if scope:
+        assert got[8] == ("RETAILER", D(100))
+
+
+def test_void_prices_give_way_to_older_ones(spark):
+    d1, d2 = dt.date(2026, 1, 1), dt.date(2026, 1, 2)
+    rows = [(1, 1, 1, d1, D(50), None, None, None, None, None), (2, 1, 1, d2, None, D(40), d2, d2, None, None)]
+    place = spark.createDataFrame([(7, 1, "A", "A")], "store_id long, retailer_id long, format_name string, format_code string")
+    [r] = pricing.scoped_prices(spark.createDataFrame(rows, PRICE), place, F.lit("2026-01-09").cast("date")).collect()
+    assert r.effective_price == 50
+
+
+def test_nearby(spark):
+    rows = [("NEAREST", 44.2701, 19.8842, True, "AUTO_VERIFIED"), ("SECOND", 44.2750, 19.8900, True, "MANUALLY_VERIFIED"), ("OUTSIDE", 44.32, 19.95, True, "AUTO_VERIFIED"), ("CLOSED", 44.2701, 19.8842, False, "AUTO_VERIFIED"), ("UNSEEN", 44.2701, 19.8842, True, "NEEDS_REVIEW")]
+    place = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "store_id long, name string, latitude double, longitude double, active boolean, geocoding_status string")
+    user = spark.createDataFrame([(1, 44.27, 19.884)], "user_id long, latitude double, longitude double")
+    names = lambda limit: [r.name for r in stores.nearby(user, place, 2000.0, limit).orderBy("position").collect()]
+    assert names(20) == ["NEAREST", "SECOND"] and names(1) == ["NEAREST"]
+
+
+@pytest.mark.parametrize("radius", [800.0, 90_000.0, 3_000_000.0])
+def test_grid_join_finds_every_pair(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    spots = [(i, rng.uniform(-89.9, 89.9), rng.uniform(-180, 180)) for i in range(150)] + [(1000 + i, rng.uniform(40, 41), rng.uniform(179.3, 180)) for i in range(40)] + [(2000 + i, rng.uniform(40, 41), rng.uniform(-180, -179.3)) for i in range(40)]
+    a = spark.createDataFrame(spots, "a long, latitude double, longitude double")
+    b = a.withColumnRenamed("a", "b")
+    got = {(r.a, r.b) for r in within(a, b, radius).select("a", "b").collect()}
+    far = a.withColumnRenamed("latitude", "y").withColumnRenamed("longitude", "x").crossJoin(b)
+    want = {(r.a, r.b) for r in far.where(haversine_m(F.col("y"), F.col("x"), F.col("latitude"), F.col("longitude")) <= radius).select("a", "b").collect()}
+    assert got == want
+
+
+def test_one_degree(spark):
+    [r] = spark.range(1).select(haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("m")).collect()
+    assert 111_194 < r.m < 111_196
+
+
+def test_recommendation_costs(spark):
+    """Legs of 1000 m and 2000 m on the equator: totals of the published example."""
+    degree = 1000 / 111_195.0802
+    place = [(1, 1, 1, degree, 0.0, 0.0, 0.0), (1, 2, 2, -degree, 0.0, 0.0, 0.0)]
+    candidates = spark.createDataFrame(place, "list_id long, store_id long, position int, latitude double, longitude double, user_latitude double, user_longitude double")
+    rows = [(1, 1, 10, D("100.00")), (1, 1, 11, D("300.00")), (1, 2, 10, D("130.00")), (1, 2, 11, D("100.00"))]
+    offers = spark.createDataFrame([(*r, dt.date(2026, 1, 1)) for r in rows], "list_id long, store_id long, item_id long, line_total decimal(18,2), price_date date")
+    every = plans.enumerate_plans(candidates)
+    chosen = {r.scenario: r for r in plans.choose(plans.evaluate(every, plans.assign(every, offers))).collect()}
+    told = {k: (str(r.basket), r.stops, str(r.total)) for k, r in chosen.items()}
+    assert told == {"SINGLE_STORE": ("230.00", 1, "376.67"), "RECOMMENDED_BALANCE": ("230.00", 1, "376.67"), "LOWEST_PRICE": ("200.00", 2, "493.33")}
+    assert chosen["LOWEST_PRICE"].savings == D("-116.66")
+
+
+def test_location_strategy(spark):
+    one = spark.createDataFrame([(1, D("100.00"), 4000)], "list_id long, basket decimal(18,2), metres long")
+    [r] = plans.location_strategies(one, one, "10.00").collect()
+    assert (r.strategy, str(r.travel), str(r.final)) == ("SINGLE_STORE", "40.00", "140.00")
+
+
+def test_blocking_items(spark):
+    items = spark.createDataFrame([(5, "EXACT_PRODUCT", "NEEDS_CONFIRMATION"), (6, "FLEXIBLE_CATEGORY", "PENDING")], "item_id long, matching_rule string, matching_status string")
+    with pytest.raises(ValueError, match="5"):
+        plans.require_settled(items)
+    plans.require_settled(items.where("item_id = 6"))
+
+
+def test_geocoding(spark):
+    rows = [("Radnička 75", "Radničkа 75", "0.9500"), ("Radnička 75", "Радничка 75, Ваљево, Србија", "0.9500"), ("Vladike Nikolaja 24", "Vladike Nikolaja, Beograd", "0.6200")]
+    df = spark.createDataFrame([(a, m, D(c)) for a, m, c in rows], "a string, m string, c decimal(5,4)")
+    got = [tuple(r[0]) for r in df.select(stores.geocoding_decision(F.col("c"), F.col("a"), F.lit("Valjevo"), F.col("m"))).collect()]
+    assert got == [("NEEDS_REVIEW", "CITY_MISMATCH"), ("AUTO_VERIFIED", None), ("NEEDS_REVIEW", "LOW_CONFIDENCE,CITY_MISMATCH,HOUSE_NUMBER_MISMATCH")]
+
+
+PRODUCTS = "canonical_id long, name string, brand string, quantity_value decimal(14,4), base_unit string, barcode string"
+
+
+def test_brand_and_pack_beat_a_better_name(spark):
+    known = spark.createDataFrame([(1, "Alfa jogurt 1 l", "Beta", D(1500), "ml", None), (2, "Alfa probiotski jogurt 1 l", "Alfa", D(1000), "ml", None)], PRODUCTS)
+    for raw in ("Alfa jogurt 1l", "Алфа јогурт 1л"):
+        asked = spark.createDataFrame([(0, raw, "me")], "query_id long, raw string, client string")
+        found = matching.explained(matching.candidates(asked, known))
+        assert [r.canonical_id for r in found.orderBy("rank").collect()] == [2, 1]
+
+
+def test_feedback_is_reused_by_its_client_only(spark):
+    known = spark.createDataFrame([(1, "Alfa jogurt 1 l", "Alfa", D(1000), "ml", None)], PRODUCTS)
+    asked = spark.createDataFrame([(0, "Алфа јогурт 1л", "me"), (1, "alfa jogurt 1 l", "you")], "query_id long, raw string, client string")
+    said = spark.createDataFrame([("me", "alfa jogurt 1 l", "CONFIRMED", 1, 1), ("me", "alfa jogurt 1 l", "REJECTED", None, 2)], "client string, query string, action string, canonical_id long, feedback_id long")
+    told = {r.client: (r.status, str(r.score), r.matched, r.reused) for r in matching.decide(asked, matching.candidates(asked, known), said).collect()}
+    assert told == {"me": ("UNMATCHED", "0.0000", None, True), "you": ("AUTO_ACCEPTED", "1.0000", 1, False)}
+
+
+def test_search_by_ean_and_word(spark):
+    known = spark.createDataFrame([(1, "Mleko", None, None, None, "8601234567899"), (2, "Čokoladno mleko", None, None, None, None), (3, "Kafa", None, None, None, None)], PRODUCTS)
+    assert [(r.canonical_id, str(r.score)) for r in matching.search("8601234567899", known, 0, 5).collect()] == [(1, "1.0000")]
+    assert [r.canonical_id for r in matching.search("млеко", known, 0, 5).orderBy("place").collect()] == [1, 2]
+    assert [(r.canonical_id, r.total) for r in matching.search("mleko", known, 1, 1).collect()] == [(2, 2)]
+    assert [r.canonical_id for r in matching.search("ka", known, 0, 5).collect()] == [3]
+
+
+def test_valid_feedback(spark):
+    decisions = spark.createDataFrame([(1, "me"), (2, None)], "decision_id long, client string")
+    known = spark.createDataFrame([(1, "x", None, None, None, None)], PRODUCTS)
+    rows = [(1, "me", "CONFIRMED", 1), (1, "you", "CONFIRMED", 1), (2, "you", "REJECTED", None), (2, "you", "CONFIRMED", 9), (1, "me", "REJECTED", 1)]
+    df = spark.createDataFrame(rows, "decision_id long, client string, action string, canonical_id long")
+    assert sorted((r.decision_id, r.client) for r in matching.valid_feedback(df, decisions, known).collect()) == [(1, "me"), (2, "you")]
+
+
+def test_upsert_with_null_keys(spark):
+    old = spark.createDataFrame([(1, "a", None, 5), (2, "b", 1, 6)], "id long, k string, s long, v int")
+    new = spark.createDataFrame([(9, "a", None, 7), (8, "a", None, 8), (7, "c", None, 9)], "id long, k string, s long, v int")
+    out = upsert.upsert(old, new, ["k", "s"], [F.desc("id")], row_id="id")
+    assert sorted(map(tuple, out.collect())) == [(1, "a", None, 7), (2, "b", 1, 6), (7, "c", None, 9)]
+
+
+def test_geocoding_is_kept_with_the_address(spark):
+    old = spark.createDataFrame([("a", " Main 1", "X", "VERIFIED"), ("b", "Main 2", None, "VERIFIED"), ("c", "Main 3", "X", "VERIFIED")], "code string, address string, city string, geo string")
+    new = spark.createDataFrame([("a", "Main 1 ", "X", None), ("b", "Main 2", None, None), ("d", "Main 4", "X", None)], "code string, address string, city string, geo string")
+    out = {r.code: r.geo for r in upsert.keep_geocoding(old, new, ["code"], ["geo"]).collect()}
+    assert out == {"a": "VERIFIED", "b": None, "c": "VERIFIED", "d": None}

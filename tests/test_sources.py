@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+from kantar.sources import csv_files, imports, sinks
+from kantar.streaming import price_feed
+
+HEADER = ";".join(csv_files.PRICE_COLUMNS)
+ROWS = [
+    "MLEKO;Mlečni proizvodi;Mleko 1 l;Test brend;8600000000004;l;Test format;150;;01-03-2026;150;;;20",
+    "MLEKO;Mlečni proizvodi;Mleko 1 l;Test brend;8600000000004;l;Test format;160;;02-03-2026;160;;;20",
+    "HLEB;Pekarski proizvodi;Beli hleb;Test pekara;8600000000011;kom;Test format;80;;02-03-2026;80;;;20",
+]
+BAD = ["X;Y;;b;;;F;1;;02-03-2026;;;;", "X;Y;No price;b;;;F;-;n/a;99-99-9999;;;;", "X;Y;Bad day;b;;;F;1;;40-01-2026;;;;", "X;Y;Bad price;b;;;F;abc;;02-03-2026;;;;", "X;Y;Short"]
+
+
+def _file(tmp_path, rows, name="a.csv", header=HEADER):
+    path = tmp_path / name
+    path.write_text("﻿" + "\n".join([header, *rows]) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def _tables(spark):
+    products = spark.createDataFrame([], "id long, retailer_id long, source_product_key string, category_code string, category_name string, name string, normalized_name string, brand string, barcode string, unit string, quantity_value decimal(14,4), base_unit string")
+    prices = spark.createDataFrame([], "id long, product_id long, import_run_id long, format_name string, store_id long, price_date date, regular_price decimal(12,2), unit_price decimal(14,4), discounted_price decimal(12,2), discount_start date, discount_end date, vat_rate decimal(5,2)")
+    canonical = spark.createDataFrame([], "barcode string, name string, normalized_name string, brand string, quantity_value decimal(14,4), base_unit string")
+    return products, prices, canonical
+
+
+def test_import_twice(spark, tmp_path):
+    raw = csv_files.read_csv(spark, _file(tmp_path, ROWS))
+    first = imports.import_prices(raw, 1, 10, *_tables(spark))
+    audit = first.audit.first()
+    assert (str(audit.snapshot_date), audit.rows_read, audit.rows_selected, audit.rows_saved, audit.rows_skipped, audit.status) == ("2026-03-02", 3, 2, 2, 1, "SUCCEEDED")
+    kept = []
+    for k, df in enumerate((first.products, first.prices, first.canonical)):
+        sinks.write_version(df, str(tmp_path / f"t{k}"), 1)
+        kept.append(sinks.read_version(spark, str(tmp_path / f"t{k}"), 1))
+    milk = kept[0].where("barcode = '8600000000004'").first()
+    assert (milk.normalized_name, int(milk.quantity_value), milk.base_unit) == ("mleko 1 l", 1000, "ml")
+    second = imports.import_prices(raw, 1, 11, *kept)
+    again = second.prices.collect()
+    assert len(again) == 2 and {r.import_run_id for r in again} == {11}
+    assert sorted(r.id for r in again) == sorted(r.id for r in kept[1].collect())
+
+
+def test_same_ean_of_two_retailers(spark, tmp_path):
+    row = "A;B;{};;8601234567899;l;F;150;;01-03-2026;;;;"
+    one = imports.import_prices(csv_files.read_csv(spark, _file(tmp_path, [row.format("Mleko")], "1.csv")), 1, 1, *_tables(spark))
+    two = imports.import_prices(csv_files.read_csv(spark, _file(tmp_path, [row.format("Mleko dugotrajno")], "2.csv")), 2, 2, one.products, one.prices, one.canonical)
+    assert [r.name for r in two.canonical.collect()] == ["Mleko"] and two.products.count() == 2
+
+
+def test_rejects(spark, tmp_path):
+    good, rejects, _ = csv_files.parse_prices(csv_files.read_csv(spark, _file(tmp_path, ROWS + BAD)))
+    assert good.count() == 3
+    assert sorted(r._error for r in rejects.collect()) == ["BAD_PRICE_DATE", "BAD_REGULAR_PRICE", "NO_PRODUCT_NAME", "SHORT_ROW"]
+
+
+STORES = "external_code;name;address;city;active;latitude;longitude"
+
+
+def test_stores(spark, tmp_path):
+    rows = ["1;A;Main 1;X;da;44,27;19.88", "2;B;Main 2;X;;;", "3;C;Main 3;X;perhaps;;", "4;D;Main 4;X;1;44;", "5;E;Main 5;X;1;95;19"]
+    good, rejects = csv_files.parse_stores(csv_files.read_csv(spark, _file(tmp_path, rows, header=STORES)))
+    told = {r.external_code: (r.active, r.latitude, r.format_code, r.geocoding_status) for r in good.collect()}
+    assert told == {"1": (True, 44.27, "STANDARD", "MANUALLY_VERIFIED"), "2": (True, None, "STANDARD", "PENDING")}
+    assert {r.external_code: r._error for r in rejects.collect()} == {"3": "BAD_ACTIVE", "4": "HALF_A_PLACE", "5": "BAD_PLACE"}
+    import pytest
+
+    with pytest.raises(ValueError, match="latitude"):
+        csv_files.parse_stores(csv_files.read_csv(spark, _file(tmp_path, rows, "b.csv", "external_code;name;address;city;active;latitude")))
+
+
+def test_stream_of_files(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    seen = []
+    save = lambda df, n: seen.append((n, csv_files.parse_prices(df)[0].count()))
+    for k in range(2):
+        _file(landing, ROWS[k:], f"{k}.csv")
+        price_feed.import_stream(spark, str(landing), str(tmp_path / "check"), save).awaitTermination(120)
+    assert [n for _, n in seen] == [3, 2]
+    assert price_feed.newest_prices(spark, str(landing)).isStreaming and price_feed.daily_averages(spark, str(landing)).isStreaming
