@@ -94,8 +94,13 @@ def parse_prices(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     key = T.source_product_key(*[F.col(c) for c in ("barcode", "product_name", "brand", "unit", "category_code")])
     parsed = parsed.withColumn("source_product_key", key).drop("_short")
+    return *split_parsed(parsed), parsed
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prices, rejects) of parsed rows."""
     good = parsed.where("_error IS NULL AND _priced").drop("_error", "_priced")
-    return good, parsed.where("_error IS NOT NULL").drop("_priced"), parsed
+    return good, parsed.where("_error IS NOT NULL").drop("_priced")
 
 
 def parse_stores(raw: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/version={version:010d}")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read back.
+
+    What follows starts from a file: it is worked out once however often it is
+    read, and its plan does not carry what led to it. The folder is the
+    cluster's ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+    """
+    conf = df.sparkSession.conf
+    root = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Decisions, feedback and audit rows are only ever added."""
     df.write.mode("append").parquet(path)

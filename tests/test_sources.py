@@ -25,15 +25,21 @@ def _tables(spark):
     return products, prices, canonical
 
 
+def _written(spark, root, result):
+    """The tables of a delivery as the next one reads them."""
+    out = []
+    for k, df in enumerate((result.products, result.prices, result.canonical)):
+        sinks.write_version(df, str(root / f"t{k}"), 1)
+        out.append(sinks.read_version(spark, str(root / f"t{k}"), 1))
+    return out
+
+
 def test_import_twice(spark, tmp_path):
     raw = csv_files.read_csv(spark, _file(tmp_path, ROWS))
     first = imports.import_prices(raw, 1, 10, *_tables(spark))
     audit = first.audit.first()
     assert (str(audit.snapshot_date), audit.rows_read, audit.rows_selected, audit.rows_saved, audit.rows_skipped, audit.status) == ("2026-03-02", 3, 2, 2, 1, "SUCCEEDED")
-    kept = []
-    for k, df in enumerate((first.products, first.prices, first.canonical)):
-        sinks.write_version(df, str(tmp_path / f"t{k}"), 1)
-        kept.append(sinks.read_version(spark, str(tmp_path / f"t{k}"), 1))
+    kept = _written(spark, tmp_path, first)
     milk = kept[0].where("barcode = '8600000000004'").first()
     assert (milk.normalized_name, int(milk.quantity_value), milk.base_unit) == ("mleko 1 l", 1000, "ml")
     second = imports.import_prices(raw, 1, 11, *kept)
@@ -45,7 +51,7 @@ def test_import_twice(spark, tmp_path):
 def test_same_ean_of_two_retailers(spark, tmp_path):
     row = "A;B;{};;8601234567899;l;F;150;;01-03-2026;;;;"
     one = imports.import_prices(csv_files.read_csv(spark, _file(tmp_path, [row.format("Mleko")], "1.csv")), 1, 1, *_tables(spark))
-    two = imports.import_prices(csv_files.read_csv(spark, _file(tmp_path, [row.format("Mleko dugotrajno")], "2.csv")), 2, 2, one.products, one.prices, one.canonical)
+    two = imports.import_prices(csv_files.read_csv(spark, _file(tmp_path, [row.format("Mleko dugotrajno")], "2.csv")), 2, 2, *_written(spark, tmp_path, one))
     assert [r.name for r in two.canonical.collect()] == ["Mleko"] and two.products.count() == 2
 
 
