@@ -265,7 +265,8 @@ def repeated_spans(
         .select("tid", F.lit(0).alias("start"), F.col("size").alias("stop"))
     )
     found = cut(long.mapInPandas(_find_segments(width), SEGMENT), "suffix-segments")
-    busy = found.groupBy("anchor").count().where(F.col("count") > 1).select("anchor")
+    # Counts are written before they are joined, so that adaptive execution can split the rows of a hot key.
+    busy = cut(found.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "suffix-busy")
     shared = cut(found.join(busy, "anchor", "left_semi"), "suffix-shared")
     named = cut(
         shared.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("tid", "lo", "hi", "at")).alias("one")),
@@ -274,7 +275,7 @@ def repeated_spans(
     whole = shared.join(named.where("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select(
         "tid", F.col("lo").alias("start"), (F.col("hi") + width).alias("stop")
     )
-    kinds = named.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = cut(named.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
     wanted = (
         named.join(kinds, "anchor")
         .select("one.tid", F.struct("one.lo", "one.hi", "one.at", "anchor", (F.col("kinds") > hot_names).alias("hot")).alias("w"))
@@ -290,7 +291,7 @@ def repeated_spans(
         .mapInPandas(_induced_spans(width), SPAN)
     )
     strings = suffixes.where("hot").mapInPandas(_each_string(width), "tid binary, start int, name binary")
-    again = strings.groupBy("name").count().where(F.col("count") > 1).select("name")
+    again = cut(strings.groupBy("name").count().where(F.col("count") > 1).select("name"), "suffix-again")
     counted = strings.join(again, "name", "left_semi").select("tid", "start", (F.col("start") + width).alias("stop"))
     spans = copied.union(whole).union(induced).union(counted)
     return spans.groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
