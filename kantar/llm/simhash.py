@@ -285,22 +285,28 @@ WIDE = 8
 LEAST_LEAD = 12
 #: Share of the pairs at the least similarity that must meet in a trie.
 MEET = 0.99
+#: Bytes of shingle sets that a task holds for one side of a candidate group.
+SET_BYTES = 32 << 20
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """The fingerprint of ``WIDE`` words: further hashes are derived from each shingle's XXH64."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The set of shingle hashes in order; a text without words has the empty one alone."""
     parts = (text or "").encode("utf-8", "replace").lower().split()
-    if not parts:
-        return np.zeros(WIDE, np.uint64)
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) < words:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        starts, ends = begin[: len(parts) - words + 1].tolist(), (begin + sizes)[words - 1 :].tolist()
-        hashes = np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+        return np.array([digest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    starts, ends = begin[: len(parts) - words + 1].tolist(), (begin + sizes)[words - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """The fingerprint of ``WIDE`` words: further hashes are derived from each shingle's XXH64."""
+    if not (text or "").encode("utf-8", "replace").split():
+        return np.zeros(WIDE, np.uint64)
+    hashes = shingles(text, words)
     step = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 1 << 13):
@@ -355,7 +361,101 @@ def _near_links(budget: int, whole: int):
     return run
 
 
-def near_groups(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS) -> DataFrame:
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of the components of texts linked by an exact Jaccard similarity of ``similarity`` at least.
+
+    A text of the given size shares one of its rarest shingles with each text so
+    similar (the prefix filter), so only those are counted through. Texts already
+    reached are not compared again: a group of near copies takes few rounds.
+    """
+    labels, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    least = np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranked = [np.sort(x) for x in np.split(rank[inverse], np.cumsum(sizes)[:-1])]
+    prefix = [x[: n - m + 1] for x, n, m in zip(ranked, sizes, least)]
+    owners = np.repeat(np.arange(len(sets)), [len(x) for x in prefix])
+    tokens = np.concatenate(prefix)
+    order = np.argsort(tokens, kind="stable")
+    held, edge = np.unique(tokens[order], return_index=True)
+    postings = dict(zip(held.tolist(), np.split(owners[order], edge[1:])))
+    open_ = np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        queue = [start]
+        while queue:
+            u = queue.pop()
+            lists = []
+            for t in prefix[u].tolist():
+                postings[t] = left = postings[t][open_[postings[t]]]
+                lists.append(left)
+            for v in np.unique(np.concatenate(lists)).tolist():
+                if min(sizes[u], sizes[v]) < similarity * max(sizes[u], sizes[v]) - 1e-9:
+                    continue
+                both = len(np.intersect1d(ranked[u], ranked[v], assume_unique=True))
+                if both >= similarity * (sizes[u] + sizes[v] - both) - 1e-9:
+                    open_[v], labels[v] = False, start
+                    queue.append(v)
+    return labels
+
+
+def _similar_links(similarity: float):
+    def solve(tids: list[bytes], sets: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        labels = similar([np.frombuffer(x, np.uint64) for x in sets], similarity)
+        linked = np.flatnonzero(labels != np.arange(len(labels))).tolist()
+        return [tids[k] for k in linked], [tids[labels[k]] for k in linked]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tids, sets = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for *now, tid, held in zip(batch["root"], batch["lo"], batch["hi"], batch["tid"], batch["held"]):
+                if now != key and tids:
+                    for out, more in zip((a, b), solve(tids, sets)):
+                        out += more
+                    tids, sets = [], []
+                key = now
+                tids.append(tid)
+                sets.append(held)
+            yield pd.DataFrame({"a": a, "b": b})
+        if tids:
+            yield pd.DataFrame(dict(zip("ab", solve(tids, sets))))
+
+    return run
+
+
+def _verify(texts: DataFrame, roots: DataFrame, words: int, similarity: float, set_bytes: int) -> DataFrame:
+    """(tid, root): the groups that hold by exact similarity, within the candidate groups ``roots``."""
+
+    @F.pandas_udf("binary")
+    def held(rows: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).tobytes() for t in rows], dtype=object)
+
+    members = roots.unionByName(roots.select(F.col("root").alias("tid"), "root").distinct())
+    found = texts.join(members, "tid").groupBy("tid").agg(F.first("text").alias("text"), F.first("root").alias("root"))
+    found = cut(found.select("tid", "root", held("text").alias("held")), "near-sets")
+    large = cut(found.groupBy("root").agg(F.sum(F.length("held")).alias("bytes")).where(F.col("bytes") > set_bytes), "near-large-sets")
+    more = large.limit(1).count() > 0
+    if more:  # pairs of slices, each pair in a task
+        found = found.join(large, "root", "left").withColumn("n", F.coalesce(F.ceil(F.col("bytes") / set_bytes), F.lit(1)))
+        mine = F.pmod(F.xxhash64("tid"), F.col("n"))
+        found = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        found = found.select("tid", "root", "held", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    else:
+        found = found.select("tid", "root", "held", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    met = found.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "tid")
+    links = met.mapInPandas(_similar_links(similarity), "a binary, b binary")
+    # Rows are sorted, so each label is the least text of its component.
+    links = components(links, "near-true-links") if more else cut(links, "near-true-links")
+    return links.select(F.col("a").alias("tid"), F.col("b").alias("root"))
+
+
+def near_groups(
+    docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, node_rows: int = NODE_ROWS, set_bytes: int = SET_BYTES
+) -> DataFrame:
     """(tid, root): for every text that has near duplicates, its group. ``tid`` is ``text_id`` of the text.
 
     Three of 64 bits are far less than what texts of a Jaccard similarity of 0.8
@@ -363,9 +463,13 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 5, similarity:
     of them, in numbers that let a pair at the least similarity meet in one trie
     at least with the probability ``MEET``; node pairs then descend the first
     64 bits, and what the budget leaves is compared over all bits. The budgets
-    lie three, and for all bits one and a quarter, standard deviations above what
-    the least similarity makes differ. A node of more than ``node_rows`` texts is
-    dealt out as pairs of slices.
+    lie three standard deviations above what the least similarity makes differ. A
+    node of more than ``node_rows`` texts is dealt out as pairs of slices.
+
+    That gives candidates only. Within each group of them the texts are linked by
+    the exact Jaccard similarity of their shingle sets (64-bit hashes), and only
+    those links make the groups. A group of over ``set_bytes`` of shingles is dealt
+    out as pairs of slices.
     """
     texts = docs.select(text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
 
@@ -378,7 +482,7 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 5, similarity:
     lead = max(LEAST_LEAD, int(np.ceil(np.log2(max(1, n) / 64))))
     tries = int(np.ceil(np.log(1 - MEET) / np.log(1 - (1 - p) ** lead)))
     budget = int(64 * p + 3 * np.sqrt(64 * p * (1 - p)))
-    whole = int(64 * WIDE * p + 1.25 * np.sqrt(64 * WIDE * p * (1 - p)))
+    whole = int(64 * WIDE * p + 3 * np.sqrt(64 * WIDE * p * (1 - p)))
     rng = np.random.default_rng(SEED)
     picks = np.stack([rng.choice(64 * WIDE, lead, replace=False) for _ in range(tries)])
     weights = (1 << np.arange(lead, dtype=np.int64))[::-1]
@@ -404,6 +508,7 @@ def near_groups(docs: DataFrame, text: str = "text", words: int = 5, similarity:
     met = nodes.repartition("trie", "u", "v").sortWithinPartitions("trie", "u", "v", "side")
     links = met.mapInPandas(_near_links(budget, whole), "a binary, b binary")
     roots = components(links, "near-links").select(F.col("a").alias("tid"), F.col("b").alias("root"))
+    roots = _verify(texts, roots, words, similarity, set_bytes)
     return roots.unionByName(roots.select(F.col("root").alias("tid"), "root").distinct())
 
 

@@ -143,3 +143,40 @@ def test_keep_one(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id, r.tid) for r in out.collect()) == [(3, 2), (6, 5), (8, 6)]
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("set_bytes", [simhash.SET_BYTES, 2000])
+def test_near_groups_decide_by_exact_similarity(spark, set_bytes):
+    """Pairs on both sides of 0.8, each pair by itself."""
+    rng = random.Random(5)
+    texts, pairs = [], []
+    for k in range(240):
+        base = [f"p{k}w{rng.randrange(10**6)}" for _ in range(rng.randint(80, 300))]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(_edited(rng, base, 1 + int(len(base) * (0.005 + 0.045 * rng.random()))))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = df.withColumn("tid", simhash.text_id(df.text))
+    got = {r.doc_id: r.root for r in ids.join(simhash.near_groups(df, set_bytes=set_bytes), "tid", "left").collect()}
+    alike = {(i, j): _jaccard(texts[i], texts[j]) for i, j in pairs}
+    linked = {x for x in pairs if got[x[0]] is not None and got[x[0]] == got[x[1]]}
+    true = {x for x, j in alike.items() if j >= 0.8}
+    assert 40 < len(true) < 200 and linked <= true
+    assert len(linked) >= 0.97 * len(true)
+
+
+def test_similar_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**40, rng.integers(1, 60)).astype(np.uint64)
+        for _ in range(6):
+            part = base[rng.random(len(base)) > 0.12]
+            sets.append(np.unique(np.concatenate([part, rng.integers(0, 2**40, 2).astype(np.uint64)])))
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((want[i], want[j]))
+                want = [x if w == y else w for w in want]
+    assert simhash.similar(sets, 0.8).tolist() == want
