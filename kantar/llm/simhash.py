@@ -46,6 +46,8 @@ TRIES = 4
 NODE_ROWS = 50_000
 #: Node pairs with at most so many fingerprint pairs are compared directly.
 LEAF_PAIRS = 1024
+#: Fingerprint pairs that are laid out at once.
+BLOCK_PAIRS = 1 << 21
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -97,17 +99,53 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
+def _spread(keys: np.ndarray, labels: np.ndarray, pair: np.ndarray, budget: int, rest: np.ndarray | None, whole: int) -> None:
+    """Compare what one node pair holds, a fingerprint at a time with those not reached yet.
+
+    The components are those of all pairs; rows of a node of near copies are
+    reached in few rounds, and the memory is that of the node.
+    """
+    a, b = np.arange(pair[0], pair[1]), np.arange(pair[2], pair[3])
+    own = pair[0] == pair[2]
+    # By side: rows not reached yet. A node paired with itself has one side.
+    left = [a] if own else [a, b]
+    while len(left[0]) and len(left[-1]):
+        queue = [(0, left[0][:1])]
+        left[0] = left[0][1:]
+        while queue:
+            side, found = queue.pop()
+            other = 0 if own else 1 - side
+            for u in found:
+                to = left[other]
+                if not len(to):
+                    break
+                bits = np.bitwise_count(keys[to] ^ keys[u])
+                near = bits <= budget
+                if rest is not None:
+                    fits = np.zeros(len(to), np.int64)
+                    for word in range(rest.shape[1]):
+                        fits += np.bitwise_count(rest[to, word] ^ rest[u, word])
+                    near &= bits + fits <= whole
+                if near.any():
+                    left[other] = to[~near]
+                    _merge(labels, np.full(int(near.sum()), u), to[near])
+                    queue.append((other, to[near]))
+
+
 def _compare(keys: np.ndarray, labels: np.ndarray, pairs: np.ndarray, budget: int, rest: np.ndarray | None, whole: int) -> None:
     """Compare directly what node pairs (a_lo, a_hi, b_lo, b_hi) hold.
 
     ``rest``: further words of each fingerprint; all bits may differ in ``whole`` places.
     """
     sizes = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
+    for pair in pairs[sizes > BLOCK_PAIRS]:
+        _spread(keys, labels, pair, budget, rest, whole)
+    pairs, sizes = pairs[sizes <= BLOCK_PAIRS], sizes[sizes <= BLOCK_PAIRS]
     total = np.cumsum(sizes)
     at = 0
     while at < len(pairs):
         done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + (1 << 21), "right")))
+        to = max(at + 1, int(np.searchsorted(total, done + BLOCK_PAIRS, "right")))
         some, n = pairs[at:to], sizes[at:to]
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(some[:, 3] - some[:, 2], n)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -180,3 +181,34 @@ def test_similar_equals_all_pairs():
                 x, y = sorted((want[i], want[j]))
                 want = [x if w == y else w for w in want]
     assert simhash.similar(sets, 0.8).tolist() == want
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_large_node_of_near_copies_is_not_laid_out_as_all_pairs(own):
+    rng = np.random.default_rng(1)
+    n = 8000
+    keys = np.zeros(n, np.uint64)
+    rest = np.zeros((n, 7), np.uint64)
+    rest[np.arange(n), rng.integers(0, 7, n)] = np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    nodes = np.array([[0, n, 0, n, 0]] if own else [[0, n // 2, n // 2, n, 0]])
+    tracemalloc.start()
+    labels = simhash.walk(keys, nodes, 0, 10, rest, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (labels == 0).all() and peak < 100 << 20
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_spread_equals_all_pairs(monkeypatch, own):
+    rng = np.random.default_rng(2)
+    n = 120
+    keys = np.repeat(np.uint64(7), n)
+    rest = np.zeros((n, 7), np.uint64)
+    for k in range(n):
+        for _ in range(rng.integers(0, 4)):
+            rest[k, rng.integers(0, 4)] ^= np.uint64(1) << np.uint64(rng.integers(0, 16))
+    nodes = np.array([[0, n, 0, n, 0]] if own else [[0, 50, 50, n, 0]])
+    want = simhash.walk(keys, nodes, 0, 10, rest, 2)
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", 1)
+    got = simhash.walk(keys, nodes, 0, 10, rest, 2)
+    assert got.tolist() == want.tolist() and len(set(want.tolist())) > 1
