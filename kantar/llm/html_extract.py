@@ -24,8 +24,9 @@ block becomes one space, blocks are trimmed and joined by one line feed.
 Defined results: a null html is empty and gives an empty text, as does a page
 without main text. A null url is the host of no name. Repeated rows each give a
 row; null page ids are kept; empty input gives no rows. Unclosed elements end
-where HTML says so, an unfinished tag at the end is dropped, and elements that
-are nested deeper than ``DEPTH`` count at that depth. Other columns are not read.
+where HTML says so, an unfinished tag at the end is dropped. Elements nested deeper
+than ``DEPTH`` have no place of their own in the tree; their text counts for the
+places above. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,22 +117,20 @@ def _meaning(tag: str, attributes: str) -> tuple[str, bool, bool]:
 def parse(text: str) -> Page:
     page = Page()
     stack: list[int] = []
-    opened: dict[str, int] = {}
+    # Where in the stack the elements of each name are.
+    opened: dict[str, list[int]] = {}
     at, size = 0, len(text)
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
             e = stack.pop()
-            opened[page.tags[e]] -= 1
+            opened[page.tags[e]].pop()
             page.events.append((1, e))
 
     def implied(closes: frozenset | set, within: frozenset | set) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            tag = page.tags[stack[k]]
-            if tag in closes:
-                return close(k)
-            if tag in within:
-                return
+        last = max((opened[t][-1] for t in closes if opened.get(t)), default=-1)
+        if last > max((opened[t][-1] for t in within if opened.get(t)), default=-1):
+            close(last)
 
     while at < size:
         lt = text.find("<", at)
@@ -162,10 +161,7 @@ def parse(text: str) -> Page:
         tag = found[2].lower()
         if found[1]:
             if opened.get(tag):
-                for k in range(len(stack) - 1, -1, -1):
-                    if page.tags[stack[k]] == tag:
-                        close(k)
-                        break
+                close(opened[tag][-1])
             elif tag == "br":
                 page.events.append((2, " "))
             continue
@@ -196,11 +192,9 @@ def parse(text: str) -> Page:
                 gt = text.find(">", end.end())
                 at = size if gt < 0 else gt + 1
             page.events.append((1, e))
-        elif len(stack) < DEPTH:
-            stack.append(e)
-            opened[tag] = opened.get(tag, 0) + 1
         else:
-            page.events.append((1, e))
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append(e)
     close(0)
     return page
 
@@ -219,12 +213,13 @@ def _places(page: Page) -> list[int]:
 
 def _judged(page: Page) -> list[bool]:
     """Elements whose importance the site decides: not known before."""
-    out, in_main, in_zero = [], [], []
+    out, in_main, in_zero, depth = [], [], [], []
     for e, parent in enumerate(page.parents):
         in_main.append(page.main[e] or (parent >= 0 and in_main[parent]))
         in_zero.append(page.zero[e] or (parent >= 0 and in_zero[parent]))
+        depth.append(depth[parent] + 1 if parent >= 0 else 0)
         tag = page.tags[e]
-        out.append(tag in BLOCK and tag not in ("html", "body") and not page.main[e] and not in_zero[e] and not (in_main[e] and tag in FLOW))
+        out.append(depth[e] < DEPTH and tag in BLOCK and tag not in ("html", "body") and not page.main[e] and not in_zero[e] and not (in_main[e] and tag in FLOW))
     return out
 
 

@@ -69,3 +69,12 @@ def test_whole_table_against_the_known_template(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = {r.page_id: (r.text, r.n_chars) for r in H.op10_html_extract(spark, "/root/testdata/sf0.01").collect()}
     assert got == {r.page_id: (plain(r.html), len(plain(r.html))) for r in pages}
+
+
+def test_deep_nesting_keeps_the_article_open():
+    page = "<div><article><p>first</p>" + "<div>" * 300 + "deep" + "</div>" * 300 + "<p>last</p></article></div>after"
+    assert text(page) == "first\ndeep\nlast"
+    assert text("<article>" + "<b>" * 400 + "<p>x</p><nav>menu</nav><p>y</p></article>") == "x\ny"
+    parsed = H.parse("<div>x" * 3000)
+    assert len(H.features(parsed)) == H.DEPTH
+    assert text("<ul>" + "<b>" * 50_000 + "<li></li>" * 50_000) == ""
