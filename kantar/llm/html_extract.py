@@ -10,9 +10,10 @@ low says the same on every page, and is removed; places seen on fewer than
 
 Some importance is known before any count. Elements whose meaning is given by
 HTML or by customary names (``nav``, ``aside``, ``form``, ``class="cookie"`` and
-so on) have none. Where a page marks its main part (``article``, ``main``), the
-flow text there has full importance, however often it repeats (a site of copies
-must not lose its articles), and text outside has none.
+so on) have none. Where a page marks its main part (``article``, ``main``), text
+outside has none. Inside, the site decides on flow elements as on others, but by
+pages of different main text: pages that share all of it count once (a site of
+copies must not lose its articles). The main part itself is not judged.
 
 Counting uses map-side combining throughout, exact copies of a page count once,
 and only the places to remove return to the pages, so a host with a third of all
@@ -71,7 +72,6 @@ ENDS_SAME = {
 NO_TEXT = frozenset("head script style noscript template iframe object svg canvas audio video noembed noframes".split())
 UNIMPORTANT_TAGS = frozenset("nav aside form footer menu button select textarea input dialog search fieldset datalist".split())
 MAIN_TAGS = frozenset("article main".split())
-FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table figure figcaption hgroup header".split())
 UNIMPORTANT_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
     gdpr notice notices notification alert popup modal overlay nav navbar navigation menu submenu sidebar aside footer
@@ -219,10 +219,18 @@ def _judged(page: Page) -> list[bool]:
         in_zero.append(page.zero[e] or (parent >= 0 and in_zero[parent]))
         depth.append(depth[parent] + 1 if parent >= 0 else 0)
         tag = page.tags[e]
-        out.append(depth[e] < DEPTH and tag in BLOCK and tag not in ("html", "body") and not page.main[e] and not in_zero[e] and not (in_main[e] and tag in FLOW))
+        out.append(depth[e] < DEPTH and tag in BLOCK and tag not in ("html", "body") and not page.main[e] and not in_zero[e])
     return out
 
 
+def _main_places(page: Page) -> set[int]:
+    """The places that lie in the main part of the page."""
+    inside: list[bool] = []
+    for e, parent in enumerate(page.parents):
+        inside.append(page.main[e] or (parent >= 0 and inside[parent]))
+    return {p for p, main in zip(_places(page), inside) if main}
+
+
 def features(page: Page) -> dict[int, tuple[int, int]]:
     """For each judged place: presentation and content of all its elements on the page."""
     places, judged = _places(page), _judged(page)
@@ -300,8 +308,11 @@ def _page_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for site, text in zip(batch["host"], batch["html"]):
             text = text or ""
-            mark = _digest(text)
-            out += [(site, p, mark, look, said) for p, (look, said) in features(parse(text)).items()]
+            page = parse(text)
+            found, mark = features(page), _digest(text)
+            inside = _main_places(page)
+            main = _digest(main_text(page)) if inside else mark
+            out += [(site, p, main if p in inside else mark, look, said) for p, (look, said) in found.items()]
         yield pd.DataFrame(out, columns=["host", "place", "page", "look", "said"])
 
 

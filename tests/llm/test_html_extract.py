@@ -78,3 +78,13 @@ def test_deep_nesting_keeps_the_article_open():
     parsed = H.parse("<div>x" * 3000)
     assert len(H.features(parsed)) == H.DEPTH
     assert text("<ul>" + "<b>" * 50_000 + "<li></li>" * 50_000) == ""
+
+
+def test_flow_that_a_site_repeats_in_its_articles_goes(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Text {0} of {1}</p><p class='sub'>Get our letter</p><ul class='tools'><li>Print</li><li>Mail</li></ul></article><i>{2}</i></body>"
+    rows = [(i, "http://site.example/", page.format(i, i * 7, "")) for i in range(30)]
+    rows += [(100 + i, "http://copies.example/", page.format("a", "b", i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_main(df).collect()}
+    assert all(got[i] == f"Title {i}\nText {i} of {i * 7}" for i in range(30))
+    assert all(got[100 + i] == "Title a\nText a of b\nGet our letter\nPrint\nMail" for i in range(30))
