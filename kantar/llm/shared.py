@@ -37,6 +37,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more rows than this counts as hot; so many hot keys at most are broadcast (under 10 MB).
+HOT_ROWS, HOT_KEYS = 2_000, 200_000
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str], n: str) -> DataFrame:
+    """The rows whose ``on`` is in ``keys``; ``n`` of a key is the number of its rows.
+
+    Rows of hot keys stay where they are and meet the hot keys by broadcast, so that
+    no task gets all rows of one. With too many hot keys for that, none holds
+    much of the data, and adaptive execution splits what is uneven. Both
+    inputs are read more than once and should be written tables.
+    """
+    hot = keys.where(F.col(n) > HOT_ROWS).select(*on)
+    if not 0 < hot.count() <= HOT_KEYS:
+        return rows.join(keys.select(*on), on, "left_semi").select(*rows.columns)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(keys.where(F.col(n) <= HOT_ROWS).select(*on), on, "left_semi")
+    return rows.join(F.broadcast(hot), on, "left_semi").unionByName(rest).select(*rows.columns)
+
+
 def text_id(text: Column) -> Column:
     """The address of a text: 16 bytes of its SHA-256; null counts as empty."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)

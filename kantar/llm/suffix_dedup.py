@@ -4,22 +4,31 @@ Every string of ``WIDTH`` bytes that starts at two places at least is covered
 wherever it occurs. The suffixes of a corpus are far too many to sort one by
 one; as in induced sorting, few are sorted and the others follow from them:
 
-1. *Sample.* The leftmost least k-gram hash of a string is its anchor. Equal
-   strings have equal anchors at equal places, so strings are compared only with
-   strings of their anchor. Strings that start in one run [lo, hi] and share an
-   anchor form a segment. Segments are named by a digest of their bytes.
+1. *Sample.* The leftmost least k-gram hash of a string's first ``FLOOR`` bytes is
+   its anchor. Equal strings have equal anchors at equal places, so strings are
+   compared only with strings of their anchor. Strings that start in one run
+   [lo, hi] and share an anchor form a segment. Segments are named by a digest of
+   their bytes.
 2. *Reduce.* Names are counted with map-side combining. An anchor that occurs
    once repeats nothing; a name that occurs twice repeats all of its strings.
    Only anchors with different names (the edges of repeats) go on to sorting.
-3. *Sort and induce.* The suffixes at these anchors are sorted by Spark's
-   external sorter, which spills to disk; the common prefix of neighbours is
-   taken from the bytes. Then the order moves left one byte at a time: suffixes
-   that agree on the preceding byte keep their order, and the common prefix of
-   new neighbours is the least over the range between them, plus one. A string
-   repeats where the prefix shared with a neighbour reaches ``WIDTH``.
-
-An anchor with more than ``HOT_NAMES`` names is not gathered: its strings are
-digested and counted by Spark's aggregation instead, which gives the same spans.
+3. *Recurse.* An anchor with more than ``MOST_NAMES`` names is divided: offsets
+   from the anchor are halved, and within a half all strings share a longer core,
+   which takes the place of the anchor. Cells that occur once drop out, large
+   ones are halved again. In a cell of one offset the core is the string itself.
+4. *Sort and induce.* The suffixes at anchors are sorted by Spark's external
+   sorter, which spills to disk; the common prefix of neighbours is taken from the
+   bytes. Then the order moves left one byte at a time: suffixes that agree on
+   the preceding byte keep their order, and the common prefix of new neighbours is
+   the least over the range between them, plus one. A string repeats where the
+   prefix shared with a neighbour reaches ``WIDTH``.
+
+So no task holds more than ``MOST_NAMES`` suffixes of an anchor, however often it
+occurs, and the result does not depend on that bound.
+
+Since anchors are taken from the first ``FLOOR`` bytes, shorter repeats (of
+``FLOOR`` bytes or more) are met on the way. They are not removed; a text that
+has any is marked as one that repeats.
 
 Texts are addressed by digest, so copies (and repeated rows, and null ids) share
 one result; a text of two rows or more is repeated as a whole.
@@ -39,12 +48,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kantar.llm.shared import cut, table, text_id
+from kantar.llm.shared import among, cut, table, text_id
 
 WIDTH = 400
+FLOOR = 256
 GRAM = 32
 PIECE = 1 << 20
-HOT_NAMES = 50_000
+#: Suffixes of one anchor that are sorted and induced together.
+MOST_NAMES = 20_000
 #: Rows that the induction holds at once, but for a single larger anchor.
 SORT_ROWS = 20_000
 
@@ -74,14 +85,14 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def segments(data: bytes, width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Piece by piece: lo, hi, anchor place and anchor hash of the segments."""
+def segments(data: bytes, floor: int = FLOOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece: lo, hi, anchor place and anchor hash of the segments of ``floor``-byte windows."""
     whole = np.frombuffer(data, np.uint8)
-    for base in range(0, len(whole) - width + 1, PIECE):
-        some = whole[base : base + PIECE + width - 1]
+    for base in range(0, len(whole) - floor + 1, PIECE):
+        some = whole[base : base + PIECE + floor - 1]
         h = _grams(some)
         least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        span, size = width - GRAM + 1, 1
+        span, size = floor - GRAM + 1, 1
         while size * 2 <= span:  # the least over twice as many places each time
             least = np.minimum(least[:-size], least[size:])
             size *= 2
@@ -98,20 +109,25 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-SEGMENT = "tid binary, lo int, hi int, at int, anchor long, name binary"
+SEGMENT = "tid binary, lo int, hi int, at int, stop int, anchor long, name binary"
 
 
-def _find_segments(width: int):
+def _find_segments(width: int, floor: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = hashlib.blake2b
         for batch in batches:
             for tid, text in zip(batch["tid"], batch["text"]):
                 data = _raw(text)
-                for lo, hi, at, anchor in segments(data, width):
-                    names = [digest(data[a : b + width], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())]
+                for lo, hi, at, anchor in segments(data, floor):
+                    stop = np.minimum(hi + width, len(data))
+                    # The place of the anchor is named too: contexts cut short by the text's end may be alike but for it.
+                    names = [digest(data[a:b], digest_size=16, salt=k.to_bytes(2, "big")).digest() for a, b, k in zip(lo.tolist(), stop.tolist(), (at - lo).tolist())]
                     yield pd.DataFrame(
-                        {"tid": [tid] * len(lo), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "at": at.astype(np.int32), "anchor": anchor, "name": names}
-                    )
+                        {
+                            "tid": [tid] * len(lo), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "at": at.astype(np.int32),
+                            "stop": stop.astype(np.int32), "anchor": anchor, "name": names,
+                        }
+                    )
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -130,15 +146,35 @@ def _find_segments(width: int):
 SUFFIX = "tid binary, lo int, hi int, at int, anchor long, hot boolean, before binary, suffix binary"
 
 
-def _cut_suffixes(width: int):
+def _cut_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for tid, text, wanted in zip(batch["tid"], batch["text"], batch["wanted"]):
+            data = _raw(text)
+            for w in wanted:
+                lo, at = w["lo"], w["at"]
+                out.append((tid, lo, w["hi"], at, w["anchor"], w["hot"], data[lo:at], data[at : w["stop"]]))
+        yield pd.DataFrame(out, columns=["tid", "lo", "hi", "at", "anchor", "hot", "before", "suffix"])
+
+
+def _halves(size: int, width: int, floor: int):
+    """Suffix tuples dealt to cells of ``size`` offsets; the core that a cell's strings share becomes the anchor.
+
+    Offset i is the string that starts i bytes before the anchor. Its window covers
+    the core of its cell, so equal strings are in cells of equal cores.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for tid, text, wanted in zip(batch["tid"], batch["text"], batch["wanted"]):
-                data = _raw(text)
-                for w in wanted:
-                    lo, hi, at = w["lo"], w["hi"], w["at"]
-                    out.append((tid, lo, hi, at, w["anchor"], w["hot"], data[lo:at], data[at : hi + width]))
+            for tid, lo, hi, at, anchor, before, suffix in zip(*(batch[c] for c in ("tid", "lo", "hi", "at", "anchor", "before", "suffix"))):
+                data, zero = before + suffix, at - lo
+                for cell in range((at - hi) // size, zero // size + 1):
+                    near, far = cell * size, cell * size + size - 1
+                    core = data[zero - near : zero - far + floor]
+                    key = hashlib.blake2b(anchor.to_bytes(8, "big", signed=True) + near.to_bytes(2, "big") + core, digest_size=8)
+                    first, last = max(lo, at - far), min(hi, at - near)
+                    out.append((tid, first, last, at, int.from_bytes(key.digest(), "big", signed=True), True, data[first - lo : zero], suffix[: last + width - at]))
             yield pd.DataFrame(out, columns=["tid", "lo", "hi", "at", "anchor", "hot", "before", "suffix"])
 
     return run
@@ -165,16 +201,17 @@ def _least_between(values: np.ndarray, after: np.ndarray, upto: np.ndarray) -> n
     return out
 
 
-def induce(anchor: np.ndarray, before: list[bytes], suffix: list[bytes], free: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """marks[r, i]: does the string that starts i bytes before anchor r repeat?
+def induce(anchor: np.ndarray, before: list[bytes], suffix: list[bytes], free: np.ndarray, width: int = WIDTH, floor: int = FLOOR) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, repeats): marks[r, i] says whether the ``width`` bytes that start i bytes before anchor r
+    start elsewhere too, repeats[r] whether ``floor`` bytes from any such start do.
 
     Rows are sorted by anchor, then suffix. ``free``: the least i that belongs to
     the segment of the row.
     """
-    reach = width - GRAM
+    reach = floor - GRAM
     right, right_size = _matrix(suffix, width)
     left, left_size = _matrix([b[::-1] for b in before], reach)
-    marks = np.zeros((len(anchor), reach + 1), bool)
+    marks, repeats = np.zeros((len(anchor), reach + 1), bool), np.zeros(len(anchor), bool)
     differ = right[1:] != right[:-1]
     first = np.where(differ.any(1), differ.argmax(1), width)
     lcp = np.concatenate(([-1], np.minimum(first, np.minimum(right_size[1:], right_size[:-1]))))
@@ -182,10 +219,11 @@ def induce(anchor: np.ndarray, before: list[bytes], suffix: list[bytes], free: n
     live = np.arange(len(anchor))
     for i in range(reach + 1):
         best = np.maximum(lcp, np.append(lcp[1:], -1))
-        hit = (best >= width - i) & (free[live] <= i)
-        marks[live[hit], i] = True
+        own = free[live] <= i
+        marks[live[own & (best >= width - i)], i] = True
+        repeats[live[own & (best >= floor - i)]] = True
         room = left_size[live]
-        keep = np.flatnonzero((room > i) & (best + room >= width))
+        keep = np.flatnonzero((room > i) & (best + room >= floor))
         if len(keep) < 2:
             break
         if len(keep) < len(live):
@@ -201,24 +239,31 @@ def induce(anchor: np.ndarray, before: list[bytes], suffix: list[bytes], free: n
         if len(same):
             moved[same + 1] = _least_between(lcp, order[same], order[same + 1])
         lcp, live = moved, live[order]
-    return marks
+    return marks, repeats
 
 
+#: An empty range stands for a repeat of less than the width.
 SPAN = "tid binary, start int, stop int"
 
 
-def _induced_spans(width: int):
+def _induced_spans(width: int, floor: int):
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         at, lo = part["at"].to_numpy(np.int64), part["lo"].to_numpy(np.int64)
-        marks = induce(
-            part["anchor"].to_numpy(np.int64), part["before"].tolist(), part["suffix"].tolist(), at - part["hi"].to_numpy(np.int64), width
+        marks, repeats = induce(
+            part["anchor"].to_numpy(np.int64), part["before"].tolist(), part["suffix"].tolist(), at - part["hi"].to_numpy(np.int64), width, floor
         )
         edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
         # i counts leftwards: the run begin..end-1 starts at at-end+1 and its last string at at-begin.
+        tid, only = part["tid"].to_numpy(), np.flatnonzero(repeats & ~marks.any(1))
+        none = np.zeros(len(only), np.int64)
         return pd.DataFrame(
-            {"tid": part["tid"].to_numpy()[row], "start": (at[row] - end + 1).astype(np.int32), "stop": (at[row] - begin + width).astype(np.int32)}
+            {
+                "tid": np.concatenate((tid[row], tid[only])),
+                "start": np.concatenate((at[row] - end + 1, none)).astype(np.int32),
+                "stop": np.concatenate((at[row] - begin + width, none)).astype(np.int32),
+            }
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,64 +282,68 @@ def _induced_spans(width: int):
     return run
 
 
-def _each_string(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for tid, lo, hi, before, suffix in zip(batch["tid"], batch["lo"], batch["hi"], batch["before"], batch["suffix"]):
-                data = before + suffix
-                names = [hashlib.blake2b(data[k : k + width], digest_size=16).digest() for k in range(hi - lo + 1)]
-                yield pd.DataFrame({"tid": [tid] * len(names), "start": np.arange(lo, hi + 1, dtype=np.int32), "name": names})
-
-    return run
-
-
-def repeated_spans(
-    docs: DataFrame, text: str = "text", width: int = WIDTH, hot_names: int = HOT_NAMES
-) -> DataFrame:
-    """(tid, spans): for each text with repeats, its covered [start, stop) byte ranges.
-
-    Spans may overlap. ``tid`` is ``text_id`` of the text.
+def _divided(hot: DataFrame, width: int, floor: int, most: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Suffix tuples of crowded anchors in cells of at most ``most`` tuples, and spans of those that no cell divides."""
+    small, size = [], 1 << (floor - GRAM).bit_length() - 1
+    while size:
+        cells = cut(hot.mapInPandas(_halves(size, width, floor), SUFFIX), f"suffix-cells-{size}")
+        count = cut(cells.groupBy("anchor").count().where(F.col("count") > 1), "suffix-cell-sizes")
+        small.append(among(cells, count.where(F.col("count") <= most), ["anchor"], "count"))
+        if count.where(F.col("count") > most).limit(1).count() == 0:
+            return small, None
+        hot, size = among(cells, count.where(F.col("count") > most), ["anchor"], "count"), size // 2
+    # Cells of one offset: all strings of a cell have the same first bytes, and what follows tells them apart.
+    string = F.substring(F.concat("before", "suffix"), 1, width)
+    named = cut(hot.select("tid", F.col("lo").alias("start"), "anchor", F.octet_length(string).alias("size"), F.sha2(string, 256).alias("name")), "suffix-same")
+    again = cut(named.where(F.col("size") == width).groupBy("anchor", "name").count().where(F.col("count") > 1), "suffix-again")
+    found = among(named.where(F.col("size") == width), again, ["anchor", "name"], "count").select("tid", "start", (F.col("start") + width).alias("stop"))
+    return small, found.unionByName(named.select("tid", F.lit(0).alias("start"), F.lit(0).alias("stop")))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, floor: int = FLOOR, most: int = MOST_NAMES) -> DataFrame:
+    """(tid, spans): for each text that repeats ``floor`` bytes, its covered [start, stop) byte ranges.
+
+    Ranges are of strings of ``width`` bytes; they may overlap, and there may be
+    none. ``tid`` is ``text_id`` of the text.
     """
+    if not GRAM <= floor <= width:
+        raise ValueError("the floor lies between the length of a gram and the width")
     texts = docs.select(text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    long = texts.where(F.octet_length("text") >= width)
     copied = (
         texts.select("tid", F.octet_length("text").alias("size"))
         .groupBy("tid")
         .agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        .where((F.col("n") > 1) & (F.col("size") >= width))
-        .select("tid", F.lit(0).alias("start"), F.col("size").alias("stop"))
+        .where((F.col("n") > 1) & (F.col("size") >= floor))
+        .select("tid", F.lit(0).alias("start"), F.when(F.col("size") >= width, F.col("size")).otherwise(0).alias("stop"))
     )
-    found = cut(long.mapInPandas(_find_segments(width), SEGMENT), "suffix-segments")
+    long = texts.where(F.octet_length("text") >= floor)
+    found = cut(long.mapInPandas(_find_segments(width, floor), SEGMENT), "suffix-segments")
     # Counts are written before they are joined, so that adaptive execution can split the rows of a hot key.
-    busy = cut(found.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "suffix-busy")
-    shared = cut(found.join(busy, "anchor", "left_semi"), "suffix-shared")
+    busy = cut(found.groupBy("anchor").count().where(F.col("count") > 1), "suffix-busy")
+    shared = cut(among(found, busy, ["anchor"], "count"), "suffix-shared")
     named = cut(
-        shared.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("tid", "lo", "hi", "at")).alias("one")),
+        shared.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("tid", "lo", "hi", "at", "stop")).alias("one")),
         "suffix-names",
     )
-    whole = shared.join(named.where("n > 1").select("anchor", "name"), ["anchor", "name"], "left_semi").select(
-        "tid", F.col("lo").alias("start"), (F.col("hi") + width).alias("stop")
-    )
+    whole = among(shared, named.where("n > 1").select("anchor", "name", "n"), ["anchor", "name"], "n")
+    whole = whole.select("tid", F.col("lo").alias("start"), F.when(F.col("stop") - F.col("lo") >= width, F.col("stop")).otherwise(F.col("lo")).alias("stop"))
     kinds = cut(named.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
     wanted = (
         named.join(kinds, "anchor")
-        .select("one.tid", F.struct("one.lo", "one.hi", "one.at", "anchor", (F.col("kinds") > hot_names).alias("hot")).alias("w"))
+        .select("one.tid", F.struct("one.lo", "one.hi", "one.at", "one.stop", "anchor", (F.col("kinds") > most).alias("hot")).alias("w"))
         .groupBy("tid")
         .agg(F.collect_list("w").alias("wanted"))
     )
     once = long.groupBy("tid").agg(F.first("text").alias("text"))
-    suffixes = cut(once.join(wanted, "tid").mapInPandas(_cut_suffixes(width), SUFFIX), "suffix-tuples")
-    induced = (
-        suffixes.where("not hot")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "suffix")
-        .mapInPandas(_induced_spans(width), SPAN)
-    )
-    strings = suffixes.where("hot").mapInPandas(_each_string(width), "tid binary, start int, name binary")
-    again = cut(strings.groupBy("name").count().where(F.col("count") > 1).select("name"), "suffix-again")
-    counted = strings.join(again, "name", "left_semi").select("tid", "start", (F.col("start") + width).alias("stop"))
-    spans = copied.union(whole).union(induced).union(counted)
-    return spans.groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    suffixes = cut(once.join(wanted, "tid").mapInPandas(_cut_suffixes, SUFFIX), "suffix-tuples")
+    sorting, spans = suffixes.where("not hot"), copied.union(whole)
+    if kinds.where(F.col("kinds") > most).limit(1).count():
+        small, same = _divided(suffixes.where("hot"), width, floor, most)
+        for part in small:
+            sorting = sorting.union(part)
+        spans = spans if same is None else spans.union(same)
+    induced = sorting.repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInPandas(_induced_spans(width, floor), SPAN)
+    return spans.union(induced).groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -307,14 +356,14 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], far[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-APPLIED = "n_bytes long, n_removed long, kept binary, removed array<struct<start:int,stop:int>>"
+APPLIED = "n_bytes long, n_removed long, kept binary, removed array<struct<start:int,stop:int>>, repeats boolean"
 
 
 def _apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     out = []
     for text, found in zip(texts, spans):
         data = _raw(text)
-        places = [] if found is None else [(s["start"], s["stop"]) for s in found]
+        places = [] if found is None else [(s["start"], s["stop"]) for s in found if s["start"] < s["stop"]]
         runs = merged(np.array(places, np.int64).reshape(-1, 2))
         kept, at = [], 0
         for start, stop in runs.tolist():
@@ -322,19 +371,21 @@ def _apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
             at = stop
         kept.append(data[at:])
         gone = [{"start": a, "stop": b} for a, b in runs.tolist()]
-        out.append((len(data), int((runs[:, 1] - runs[:, 0]).sum()), b"".join(kept), gone))
-    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "kept", "removed"])
+        out.append((len(data), int((runs[:, 1] - runs[:, 0]).sum()), b"".join(kept), gone, found is not None))
+    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "kept", "removed", "repeats"])
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, hot_names: int = HOT_NAMES
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, floor: int = FLOOR, most: int = MOST_NAMES
 ) -> DataFrame:
-    """(id_col, n_bytes, n_removed, kept, removed) for every row.
+    """(id_col, n_bytes, n_removed, kept, removed, repeats) for every row.
 
-    ``kept`` holds the remaining bytes, ``removed`` the removed ranges in order.
+    ``kept`` holds the remaining bytes, ``removed`` the removed ranges in order;
+    ``repeats`` says whether ``floor`` bytes of the text start elsewhere too, even
+    if they are too few to be removed.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    held = rows.join(repeated_spans(docs, text, width, hot_names), "tid", "left")
+    held = rows.join(repeated_spans(docs, text, width, floor, most), "tid", "left")
     return held.select("id", F.pandas_udf(_apply, APPLIED)("text", "spans").alias("x")).select(F.col("id").alias(id_col), "x.*")
 
 
@@ -346,4 +397,6 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("touched"),
+        "repeats",
     )

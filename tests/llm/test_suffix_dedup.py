@@ -48,13 +48,37 @@ def _made(rng, n):
     return out
 
 
-@pytest.mark.parametrize(("hot", "seed"), [(suffix_dedup.HOT_NAMES, 1), (1, 2)])
-def test_against_brute_force(spark, hot, seed):
+@pytest.mark.parametrize(("most", "seed"), [(suffix_dedup.MOST_NAMES, 1), (1, 2), (4, 3)])
+def test_against_brute_force(spark, most, seed):
     rng = random.Random(seed)
     texts = _made(rng, 60)
-    texts += [texts[0], texts[3], "a" * 1500, "ab" * 500, "", None, "z" * 399, "q" * 400, texts[5][:-1] + "!"]
+    texts += [texts[0], texts[3], "a" * 1500, "ab" * 500, "", None, "z" * 399, "q" * 400, texts[5][:-1] + "!", "r" * 255, "s" * 256, "t" * 257]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert told(suffix_dedup.dedup_substrings(df, hot_names=hot)) == brute(texts, 400)
+    out = suffix_dedup.dedup_substrings(df, most=most)
+    assert told(out) == brute(texts, 400)
+    assert [r.repeats for r in sorted(out.collect(), key=lambda r: r.doc_id)] == [gone > 0 for _, gone, _, _ in brute(texts, suffix_dedup.FLOOR)]
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    from kantar.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    test_against_brute_force(spark, 3, 4)
+    monkeypatch.setattr(shared, "HOT_KEYS", 0)
+    test_against_brute_force(spark, 3, 5)
+
+
+def test_a_passage_between_unlike_neighbours_in_many_texts(spark):
+    """Passages of over 50 words are found wherever they stand, and clean texts are left alone."""
+    rng = random.Random(6)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(70))
+    short = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(55))
+    word = lambda n: " ".join("".join(rng.choice("ijklmnop") for _ in range(5)) for _ in range(n))
+    texts = [f"{word(k % 9)} {passage if k % 2 else short} {word(k % 7)}" for k in range(60)] + [word(90) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(suffix_dedup.dedup_substrings(df, most=16).collect(), key=lambda r: r.doc_id)
+    assert [r.repeats for r in got] == [k < 60 for k in range(80)]
+    assert all((r.n_removed >= len(passage)) == (k < 60 and k % 2 == 1) for k, r in enumerate(got))
 
 
 def test_pieces_of_long_texts(spark, monkeypatch):
@@ -63,7 +87,7 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 333)
     data = " ".join(texts).encode()
     starts = [s for lo, hi, _, _ in suffix_dedup.segments(data) for a, b in zip(lo, hi) for s in range(a, b + 1)]
-    assert starts == list(range(len(data) - 399))
+    assert starts == list(range(len(data) - suffix_dedup.FLOOR + 1))
 
 
 def test_edge_rows(spark):
