@@ -37,11 +37,13 @@ def test_site_style_tree_removes_what_all_pages_share(spark):
     got = {r.page_id: r.text for r in H.extract_main(df).collect()}
     assert all(got[i] == f"Body text number {i} of {i * 7}" for i in range(40))
     assert got[101] == "Join our club today\nBody text number 1 of 1"
+    # Few pages of its host, but the template is known from others.
+    assert {r.page_id: r.text for r in H.extract_main(df, templates=True).collect()}[101] == "Body text number 1 of 1"
 
 
 def test_salted_join_gives_the_same(spark, monkeypatch):
     test_site_style_tree_removes_what_all_pages_share(spark)
-    monkeypatch.setattr(H, "BROADCAST_PLACES", -1)
+    monkeypatch.setattr(H, "SHIPPED_NODES", -1)
     test_site_style_tree_removes_what_all_pages_share(spark)
 
 
@@ -76,7 +78,7 @@ def test_deep_nesting_keeps_the_article_open():
     assert text(page) == "first\ndeep\nlast"
     assert text("<article>" + "<b>" * 400 + "<p>x</p><nav>menu</nav><p>y</p></article>") == "x\ny"
     parsed = H.parse("<div>x" * 3000)
-    assert len(H.features(parsed)) == H.DEPTH
+    assert len(H.features(parsed)[0]) == 3000
     assert text("<ul>" + "<b>" * 50_000 + "<li></li>" * 50_000) == ""
 
 
@@ -88,3 +90,40 @@ def test_flow_that_a_site_repeats_in_its_articles_goes(spark):
     got = {r.page_id: r.text for r in H.extract_main(df).collect()}
     assert all(got[i] == f"Title {i}\nText {i} of {i * 7}" for i in range(30))
     assert all(got[100 + i] == "Title a\nText a of b\nGet our letter\nPrint\nMail" for i in range(30))
+
+
+def test_trees_equal_plain_entropies(spark):
+    """Style trees counted plainly: entropies of places, weights of content nodes."""
+    import math
+    from collections import Counter, defaultdict
+
+    page = "<body><div class='a'><p>{0}</p></div><div class='b'>{1}<i>x</i></div><div class='c'><ul>{2}</ul></div></body>"
+    rows = [(i, f"http://h{i % 2}.example/", page.format(f"t{i}", f"same {i // 30}", "<li>k</li>" * (i % 3) + f"<li>{i}</li>")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    looks, said, often = defaultdict(Counter), defaultdict(Counter), Counter()
+    for _, url, html_text in rows:
+        parsed = H.parse(html_text)
+        found, nodes = H.features(parsed)
+        for site in (f"host {url[7:-1]}", f"template {H.template(parsed)}"):
+            for p, (look, text_digest) in found.items():
+                looks[site, p][look] += 1
+                said[site, p][text_digest] += 1
+            often.update((site, p, c) for p, c in nodes)
+    entropy = lambda n: -sum(c / n.total() * math.log(c / n.total()) for c in n.values()) / math.log(n.total())
+    tree = H.tree_rows(df, templates=True)
+    got = {(r.site, r.place): (r.pages, r.presentation, r.content) for r in H.style_trees(tree).collect()}
+    assert got.keys() == looks.keys()
+    for k, (n, presentation, content) in got.items():
+        assert n == looks[k].total() and abs(presentation - entropy(looks[k])) < 1e-9 and abs(content - entropy(said[k])) < 1e-9
+    want = {(s, p, None) for s, p in looks if max(entropy(looks[s, p]), entropy(said[s, p])) <= H.UNIMPORTANT}
+    want |= {(s, p, c) for (s, p, c), n in often.items() if n > 1 and 1 - math.log(n) / math.log(looks[s, p].total()) <= H.UNIMPORTANT_CONTENT}
+    assert {tuple(r) for r in H.unimportant(tree).collect()} == want and any(c is None for *_, c in want) and any(c for *_, c in want)
+
+
+def test_a_repeated_paragraph_without_class_goes_and_its_neighbours_stay(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Text {0} of {1}</p><p>Read more on our site</p><p>End {1}</p></article></body>"
+    rows = [(i, "http://site.example/", page.format(i, i * 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_main(df).collect()}
+    assert got == {i: f"Title {i}\nText {i} of {i * 7}\nEnd {i * 7}" for i in range(30)}
+    assert H.main_text(H.parse(rows[3][2])) == "Title 3\nText 3 of 21\nRead more on our site\nEnd 21"  # without the tree
