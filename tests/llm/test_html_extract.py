@@ -98,7 +98,7 @@ def test_trees_equal_plain_entropies(spark):
     from collections import Counter, defaultdict
 
     page = "<body><div class='a'><p>{0}</p></div><div class='b'>{1}<i>x</i></div><div class='c'><ul>{2}</ul></div></body>"
-    rows = [(i, f"http://h{i % 2}.example/", page.format(f"t{i}", f"same {i // 30}", "<li>k</li>" * (i % 3) + f"<li>{i}</li>")) for i in range(40)]
+    rows = [(i, f"http://h{i % 2}.example/", page.format(f"t{i}", f"same {i // 39}", "<li>k</li>" * (i % 3) + f"<li>{i}</li>")) for i in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     looks, said, often = defaultdict(Counter), defaultdict(Counter), Counter()
     for _, url, html_text in rows:
