@@ -1,31 +1,38 @@
-"""Exact top-k by integer inner product: a Voronoi join.
+"""Exact top-k by integer inner product: a Voronoi join in two phases.
 
 Rows go to the cell of their nearest pivot. A summary of each cell (its size, its
-radius and its ``k + 1`` least distances to the pivot) bounds the product of a
-query with every member from both sides: it lies within ``|q| * r`` of the
-product with the pivot, where r is the member's distance. The bounds of all cells
-give each query a score that its k-th answer surely reaches, own row left out;
-cells whose upper bound is lower cannot matter to it. Queries of one cell travel
-in blocks, and a data row is replicated only to blocks with a query that needs
-its cell. Large cells are sliced and large blocks split, so that a task holds at
-most ``SLICE_ROWS`` data rows and ``BLOCK_QUERIES`` queries; each task answers
-with k rows a query at most, and the best k of those are the result.
+radius, its widest angle to the pivot, its norms and its ``k + 1`` least distances
+to the pivot) bounds the product of a query with every member: it lies within
+``|q| * r`` of the product with the pivot, and it is at most ``|q|`` times a norm
+times the cosine of the least angle that a member can have to the query.
+
+First each query is solved in its own cell. Its k-th score there, or what the
+summaries promise if that is more, is what an answer has to reach. Then each query
+goes to the further cells whose upper bound reaches that, and to no other. A cell's
+rows are replicated once for each block of ``BLOCK_QUERIES`` queries that need the
+cell, and not at all if none does. Large cells are sliced, so a task holds at most
+about ``SLICE_ROWS`` data rows and ``BLOCK_QUERIES`` queries; each task answers with
+k rows a query at most, and the best k of those are the result.
 
 Pivots come from ``SAMPLE_ROWS`` rows at most (those of least hashed id), which
-bounds what the driver gathers; the summaries hold ``PIVOTS`` rows. They only
-steer the work: whatever the pivots, the answers are exact.
-
-Defined results: components become ``floor(256 * x)``. Rows take no part if the
-id or vector is null, if a component is null or not finite, or if the length is
-not the commonest one (the longer, in a tie). Rows repeated exactly count once. A
-row is no answer to a query with its own id. Ties go to the smaller id; queries
-with fewer candidates than k return all. Empty input gives no rows. Other columns
-are not read. A scaled component beyond 2**23 is an error, as scores would no
-longer be exact.
+bounds what the driver gathers; there are about half the root of the number of
+rows, ``MOST_PIVOTS`` at most, and the summaries hold as many rows. They only steer
+the work: whatever the pivots, the answers are exact. In directions that are
+random in many dimensions hardly any cell can be ruled out, and the work is that
+of all queries against all rows, in blocks.
+
+Defined results: components become ``floor(256 * x)``, clipped to the range of a
+long, as is a score beyond it. Rows take no part if the id or vector is null, if a
+component is null or not finite, or if the length is not the commonest one (the
+longer, in a tie). Repeated rows are as many candidates, and a repeated query row
+brings each of its candidates as often. A row is no answer to a query with its
+own id. Ties go to the smaller id; queries with fewer candidates than k return all.
+Empty input gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,23 +43,24 @@ from pyspark.sql import functions as F
 from kantar.llm.shared import cut, table
 
 SCALE = 256
-PIVOTS = 24
-SAMPLE_ROWS = 1000
+LEAST_PIVOTS, MOST_PIVOTS = 16, 512
+SAMPLE_ROWS = 2000
 SLICE_ROWS = 16_384
 BLOCK_QUERIES = 2_048
-#: Rows of the replication plan up to which it is broadcast.
-PLAN_ROWS = 200_000
+
+
+def _whole(vectors: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.int64).reshape(-1, dim)
 
 
 def _stack(vectors: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.int64).reshape(-1, dim).astype(np.float64)
+    return _whole(vectors, dim).astype(np.float64)
 
 
 def _quantised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        scaled = [np.floor(np.asarray(v, np.float64) * SCALE) for v in batch["v"]]
-        if any(len(s) and np.abs(s).max() > 2**23 for s in scaled):
-            raise ValueError("a scaled component is beyond 2**23")
+        # The largest double under 2**63 is 1024 less.
+        scaled = [np.clip(np.floor(np.asarray(v, np.float64) * SCALE), -(2.0**63), 2.0**63 - 1024) for v in batch["v"]]
         yield pd.DataFrame({"id": batch["id"], "v": [s.astype(np.int64).tobytes() for s in scaled]})
 
 
@@ -78,6 +86,16 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+PLACED = "id long, v binary, cell int, dist double, angle double, norm double"
+
+
+def _cosines(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Cosines to every pivot; 1 where a vector or a pivot is zero (its angle says nothing)."""
+    sizes = np.sqrt((x**2).sum(1))[:, None] * np.sqrt((pivots**2).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(sizes > 0, np.clip(x @ pivots.T / sizes, -1, 1), 1.0)
+
+
 def _assign(pivots: np.ndarray):
     dim = pivots.shape[1]
 
@@ -87,60 +105,128 @@ def _assign(pivots: np.ndarray):
             x = _stack(batch["v"], dim)
             square = np.maximum((x**2).sum(1)[:, None] - 2 * (x @ pivots.T) + norms, 0)
             cell = square.argmin(1)
-            yield batch.assign(cell=cell.astype(np.int32), dist=np.sqrt(square[np.arange(len(x)), cell]))
+            own = np.arange(len(x)), cell
+            # Not from ``square``, which is the difference of large numbers.
+            dist = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+            yield batch.assign(cell=cell.astype(np.int32), dist=dist, angle=np.arccos(_cosines(x, pivots)[own]), norm=np.sqrt((x**2).sum(1)))
 
     return run
 
 
-def _needed(pivots: np.ndarray, reach: np.ndarray, near: list[np.ndarray], k: int):
-    """For each query, the cells that can hold one of its answers."""
-    dim = pivots.shape[1]
-    owner = np.concatenate([np.full(len(d), j) for j, d in enumerate(near)]).astype(np.int64)
-    nearest = np.concatenate(near)
+class Cells:
+    """The summaries of all cells, by number of the pivot."""
+
+    def __init__(self, pivots: np.ndarray, placed: DataFrame, k: int):
+        totals = placed.groupBy("cell").agg(
+            F.count("*").alias("n"), F.max("dist").alias("far"), F.max("angle").alias("wide"), F.min("norm").alias("least"), F.max("norm").alias("most")
+        )
+        heads = placed.select("cell", "dist", F.row_number().over(Window.partitionBy("cell").orderBy("dist")).alias("r")).where(F.col("r") <= k + 1)
+        self.pivots, self.k = pivots, k
+        self.n, self.far, self.wide, self.least, self.most = np.zeros((5, len(pivots)))
+        for t in totals.collect():
+            self.n[t.cell], self.far[t.cell], self.wide[t.cell], self.least[t.cell], self.most[t.cell] = t.n, t.far, t.wide, t.least, t.most
+        near = heads.collect()
+        self.owner, self.near = np.array([h.cell for h in near], np.int64), np.array([h.dist for h in near])
+
+    def most_of(self, q: np.ndarray) -> np.ndarray:
+        """No member of a cell has a greater product with the query."""
+        size = np.sqrt((q**2).sum(1))[:, None]
+        angle = np.maximum(np.arccos(_cosines(q, self.pivots)) - self.wide - 1e-7, 0)
+        cosine = np.cos(angle)
+        by_angle = size * np.where(cosine > 0, self.most, self.least) * cosine
+        by_angle = np.where((self.pivots**2).sum(1) > 0, by_angle, np.inf)
+        bound = np.minimum(q @ self.pivots.T + size * self.far, by_angle)
+        return bound + 1e-6 * (1 + size * self.most)
+
+    def sure(self, q: np.ndarray) -> np.ndarray:
+        """The k-th answer reaches this. One row more than k counts, as the query's own may be among them."""
+        size = np.sqrt((q**2).sum(1))[:, None]
+        low = (q @ self.pivots.T)[:, self.owner] - size * self.near
+        if low.shape[1] <= self.k:
+            return np.full(len(q), -np.inf)
+        return np.partition(low, -(self.k + 1), 1)[:, -(self.k + 1)] - 1e-6 * (1 + size[:, 0] * self.most.max())
+
+
+def _further(cells: Cells):
+    """For each query, the cells beside its own that can hold one of its answers."""
+    dim = cells.pivots.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             q = _stack(batch["v"], dim)
-            size = np.sqrt((q**2).sum(1))[:, None]
-            at = q @ pivots.T
-            slack = 1e-6 * (1 + np.abs(at).max(initial=0) + (size * reach).max(initial=0))
-            low = at[:, owner] - size * nearest
-            # One row more than k, since the query's own row may be among them.
-            sure = np.partition(low, -(k + 1), 1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(q), -np.inf)
-            wanted = (at + size * reach >= sure[:, None] - slack) & (reach >= 0)
-            yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "cell": batch["cell"], "cells": [np.flatnonzero(w).astype(np.int32) for w in wanted]})
+            reached = np.maximum(cells.sure(q), batch["reached"].fillna(-np.inf).to_numpy(np.float64))
+            # Scores are clipped to the range of a long, so no bound may claim more.
+            wanted = (np.maximum(cells.most_of(q), -(2.0**63)) >= np.minimum(reached, 2.0**63 * (1 - 1e-9))[:, None]) & (cells.n > 0)
+            wanted[np.arange(len(q)), batch["cell"].to_numpy()] = False
+            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "v": batch["v"], "cells": [np.flatnonzero(w).astype(np.int32) for w in wanted]})
 
     return run
 
 
-ANSWER = "query_id long, q binary, vec_id long, score long"
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact products of whole numbers, clipped to the range of a long."""
+    largest = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if largest < 2.0**53:
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    if largest < 2.0**62:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    return np.minimum(np.maximum(exact, -(2**63) + 1), 2**63 - 1).astype(np.int64)
+
+
+ANSWER = "key long, vec_id long, score long"
 
 
 def _solve(dim: int, k: int):
-    def run(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(data):
-            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
-        data = data.sort_values("id", kind="stable")
-        ids = data["id"].to_numpy(np.int64)
-        x, q = _stack(data["v"], dim), _stack(queries["v"], dim)
-        asks, raw = queries["id"].to_numpy(np.int64), queries["v"].tolist()
-        step = max(1, (1 << 20) // len(ids))
-        out: list[tuple] = []
-        for at in range(0, len(q), step):
-            scores = q[at : at + step] @ x.T
-            scores[asks[at : at + step, None] == ids] = -np.inf
-            least = np.partition(scores, -k, 1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
-            for r, row in enumerate(scores):
-                over = np.flatnonzero(row > least[r])
-                # Ids ascend, so the first rows at the bound are the ones that ties prefer.
-                even = np.flatnonzero(row == least[r])[: k - len(over)] if np.isfinite(least[r]) else over[:0]
-                for c in (*over, *even):
-                    out.append((asks[at + r], raw[at + r], ids[c], int(row[c])))
-        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"])
+    def run(_, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        keys, found, scored = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(queries) and len(data):
+            data = data.sort_values("id", kind="stable")
+            ids = data["id"].to_numpy(np.int64)
+            x, q = _whole(data["v"], dim), _whole(queries["v"], dim)
+            asks, key = queries["id"].to_numpy(np.int64), queries["key"].to_numpy(np.int64)
+            step = max(1, (1 << 20) // len(ids))
+            for at in range(0, len(q), step):
+                scores = _scores(q[at : at + step], x)
+                own = asks[at : at + step, None] == ids
+                # No score is the least long, so it stands for the query's own rows.
+                scores[own] = np.iinfo(np.int64).min
+                least = np.partition(scores, -k, 1)[:, -k] if len(ids) > k else np.full(len(scores), np.iinfo(np.int64).min)
+                for r, row in enumerate(scores):
+                    over = np.flatnonzero(row > least[r])
+                    # Ids ascend, so the first rows at the bound are the ones that ties prefer.
+                    even = np.flatnonzero(row == least[r])[: k - len(over)] if least[r] > np.iinfo(np.int64).min else over[:0]
+                    best = np.concatenate((over, even))
+                    keys.append(np.full(len(best), key[at + r]))
+                    found.append(ids[best])
+                    scored.append(row[best])
+        return pd.DataFrame({"key": np.concatenate(keys), "vec_id": np.concatenate(found), "score": np.concatenate(scored)})
 
     return run
 
 
+def replication(asked: DataFrame, cells: Cells) -> DataFrame:
+    """(to_cell, blocks, slices): how often each needed cell is sent, and in how many pieces; a row a pivot at most."""
+    need = asked.groupBy("cell").count().collect()
+    rows = [(r["cell"], -(-r["count"] // BLOCK_QUERIES), max(1, -(-int(cells.n[r["cell"]]) // SLICE_ROWS))) for r in need]
+    return asked.sparkSession.createDataFrame(rows, "to_cell int, blocks int, slices int")
+
+
+def _meet(asked: DataFrame, placed: DataFrame, cells: Cells) -> DataFrame:
+    """Answers of queries (key, id, v, cell) among the rows of their cell."""
+    plan = F.broadcast(replication(asked, cells))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mixed = lambda *c: F.xxhash64(*c)
+    queries = asked.join(plan, F.col("cell") == F.col("to_cell")).withColumn("block", F.pmod(mixed("key"), F.col("blocks")).cast("int")).withColumn("slice", upto("slices"))
+    # Other names on the data side, since both sides descend from one table.
+    data = placed.select("id", "v", "cell").join(plan, F.col("cell") == F.col("to_cell")).withColumn("to_slice", F.pmod(mixed("id", "v"), F.col("slices")).cast("int")).withColumn("to_block", upto("blocks"))
+    return (
+        queries.select("key", "id", "v", "cell", "block", "slice").groupBy("cell", "block", "slice")
+        .cogroup(data.select("id", "v", "to_cell", "to_block", "to_slice").groupBy("to_cell", "to_block", "to_slice"))
+        .applyInPandas(_solve(cells.pivots.shape[1], cells.k), ANSWER)
+    )
+
+
 def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str = "embedding", k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row that ``is_query`` marks.
 
@@ -150,39 +236,23 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str =
     good, dim = _usable(rows, id_col, vec)
     if dim == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    exact = good.mapInPandas(_quantised, "id long, v binary").distinct()
+    exact = cut(good.mapInPandas(_quantised, "id long, v binary"), "knn-vectors")
     sample = exact.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE_ROWS).toPandas()
-    pivots = choose_pivots(_stack(sample["v"], dim), PIVOTS)
-    placed = cut(exact.mapInPandas(_assign(pivots), "id long, v binary, cell int, dist double"), "knn-placed")
-    totals = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()}
-    by_dist = Window.partitionBy("cell").orderBy("dist")
-    heads = placed.select("cell", "dist", F.row_number().over(by_dist).alias("r")).where(F.col("r") <= k + 1).collect()
-    near = [np.array([h.dist for h in heads if h.cell == j]) for j in range(len(pivots))]
-    reach = np.array([totals[j].far if j in totals else -1.0 for j in range(len(pivots))])
-    slices = F.array(*[F.lit(max(1, -(-totals[j].n // SLICE_ROWS)) if j in totals else 1) for j in range(len(pivots))])
-    asked = placed.where(is_query).select("id", "v", "cell")
-    crowd = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
-    blocks = F.array(*[F.lit(max(1, -(-crowd.get(j, 0) // BLOCK_QUERIES))) for j in range(len(pivots))])
-    mixed = F.xxhash64("id", "v")
-    queries = cut(
-        asked.mapInPandas(_needed(pivots, reach, near, k), "id long, v binary, cell int, cells array<int>").select(
-            "id", "v", F.col("cell").alias("group"), F.pmod(mixed, F.get(blocks, F.col("cell"))).alias("block"), F.explode("cells").alias("cell")
-        ),
-        "knn-queries",
-    )
-    # Other names on the data side, since both sides descend from one table.
-    plan = queries.select(F.col("group").alias("to_group"), F.col("block").alias("to_block"), "cell").distinct()
-    plan = F.broadcast(plan) if plan.count() <= PLAN_ROWS else plan
-    sliced = placed.select("id", "v", "cell", F.pmod(mixed, F.get(slices, F.col("cell"))).alias("to_slice"))
-    data = sliced.join(plan, "cell").withColumnRenamed("cell", "to_cell")
-    spread = queries.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.get(slices, F.col("cell")) - 1)))
-    answers = spread.groupBy("group", "block", "cell", "slice").cogroup(
-        data.groupBy("to_group", "to_block", "to_cell", "to_slice")
-    ).applyInPandas(_solve(dim, k), ANSWER)
-    best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return (
-        answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    pivots = choose_pivots(_stack(sample["v"], dim), min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(exact.count()) // 2)))
+    placed = cut(exact.mapInPandas(_assign(pivots), PLACED), "knn-placed")
+    cells = Cells(pivots, placed, k)
+    asked = placed.where(is_query).groupBy("id", "v", "cell").agg(F.count("*").alias("times"))
+    asked = cut(asked.withColumn("key", F.monotonically_increasing_id()), "knn-queries")
+    first = cut(_meet(asked.select("key", "id", "v", "cell"), placed, cells), "knn-own")
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("key", F.col("score").alias("reached"))
+    further = asked.join(kth, "key", "left").select("key", "id", "v", "cell", F.col("reached").cast("double").alias("reached"))
+    further = cut(further.mapInPandas(_further(cells), "key long, id long, v binary, cells array<int>"), "knn-further")
+    rest = _meet(further.select("key", "id", "v", F.explode("cells").alias("cell")), placed, cells)
+    pairs = first.unionByName(rest).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    each = pairs.join(asked.select("key", F.col("id").alias("query_id"), "times"), "key").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
