@@ -14,8 +14,8 @@ themselves, and all scores, are computed by Spark over whole texts.
 
 Defined results: a null text is empty, and an empty text has figures and a score
 like any other. Labels other than 0 and 1 and labels of a null id are not learnt
-from; several labels of one id count as their least; rows that repeat, or share an
-id, each get a score. A null id is never held out. Without labels of both kinds
+from; several labels of one id count as their least, and of several texts of an id the
+least is learnt from; rows that repeat, or share an id, each get a score. A null id is never held out. Without labels of both kinds
 the score is the share of label 1, or 0.5 without any. Empty input gives no rows.
 Label, language, source and id are no inputs of a score; extra columns are not read.
 """
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         return pd.Series(list(_matrix(texts)))
 
     # At most SAMPLE_ROWS ids, so the broadcast is bounded.
-    told = rows.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "y", measured("text").alias("x"))
+    told = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "y", measured("text").alias("x"))
     got = told.toPandas().sort_values("id")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FIGURES))
     return train(x, got["y"].to_numpy(np.float64))

@@ -45,3 +45,49 @@ def test_held_out_accuracy_on_whole_table(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
     held = [(r.predicted, truth[r.doc_id]) for r in out if r.held_out and r.doc_id in truth]
     assert np.mean([p == t for p, t in held]) > 0.98
+
+
+def test_scores_equal_plain_lookups():
+    """Scoring by hand: the bin of each figure, a value per figure and per pair, the logistic function."""
+    from bisect import bisect_right
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(600, 5)), 1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = Q.train(x, y)
+    for row, told in zip(x[:80], model.score(x[:80])):
+        b = [bisect_right(list(e), v) for e, v in zip(model.edges, row)]
+        total = model.base + sum(t[k] for t, k in zip(model.single, b))
+        total += sum(t[model.coarse[f][b[f]], model.coarse[g][b[g]]] for (f, g), t in zip(model.pairs, model.double))
+        assert abs(1 / (1 + math.exp(-total)) - told) < 1e-12
+
+
+def test_trees_equal_the_best_cuts_of_all():
+    """A boosting step by trying every cut: two levels on one figure, four parts on a pair."""
+    rng = np.random.default_rng(3)
+    worth = lambda g, h: g.sum() ** 2 / (h.sum() + Q.LEAST_WEIGHT)
+    value = lambda g, h: g.sum() / (h.sum() + Q.LEAST_WEIGHT)
+
+    def plain(g, h, depth):
+        if depth == 0 or len(g) < 2:
+            return [value(g, h)] * len(g)
+        k = max(range(1, len(g)), key=lambda k: worth(g[:k], h[:k]) + worth(g[k:], h[k:]))
+        return plain(g[:k], h[:k], depth - 1) + plain(g[k:], h[k:], depth - 1)
+
+    for n in (1, 2, 7, 20):
+        g, h = rng.normal(size=n), rng.uniform(0.1, 2, n)
+        assert np.allclose(Q._leaves(g, h), plain(g, h, 2))
+    g, h = rng.normal(size=(6, 4)), rng.uniform(0.1, 2, (6, 4))
+    cut = lambda i, j: [(slice(None, i), slice(None, j)), (slice(None, i), slice(j, None)), (slice(i, None), slice(None, j)), (slice(i, None), slice(j, None))]
+    gain, i, j = max((sum(worth(g[p], h[p]) for p in cut(i, j)), i, j) for i in range(1, 6) for j in range(1, 4))
+    got, tree = Q._quadrants(g, h)
+    assert abs(got - gain) < 1e-9 and all(np.allclose(tree[p], value(g[p], h[p])) for p in cut(i, j))
+
+
+def test_an_id_with_several_texts_is_learnt_alike_in_any_order(spark):
+    texts = [("a few words " * k).strip() + c for k, c in ((3, "."), (40, "!"), (7, "|"), (25, ""))]
+    rows = [(i, t) for i in range(12) for t in texts[i % 3 : i % 3 + 2]]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    made = lambda r: Q.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(3), labels)
+    one, two = made(rows), made(rows[::-1])
+    assert one.base == two.base and all(np.array_equal(a, b) for a, b in zip(one.single, two.single)) and any(t.any() for t in one.single)
