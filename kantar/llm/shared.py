@@ -38,7 +38,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 #: A key of more rows than this counts as hot; so many hot keys at most are broadcast (under 10 MB).
-HOT_ROWS, HOT_KEYS = 2_000, 200_000
+HOT_ROWS, HOT_KEYS = 500, 200_000
 
 
 def among(rows: DataFrame, keys: DataFrame, on: list[str], n: str) -> DataFrame:

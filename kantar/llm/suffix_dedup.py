@@ -109,7 +109,7 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-SEGMENT = "tid binary, lo int, hi int, at int, stop int, anchor long, name binary"
+SEGMENT = "tid binary, lo int, hi int, at int, stop int, anchor long, name long"
 
 
 def _find_segments(width: int, floor: int):
@@ -121,7 +121,9 @@ def _find_segments(width: int, floor: int):
                 for lo, hi, at, anchor in segments(data, floor):
                     stop = np.minimum(hi + width, len(data))
                     # The place of the anchor is named too: contexts cut short by the text's end may be alike but for it.
-                    names = [digest(data[a:b], digest_size=16, salt=k.to_bytes(2, "big")).digest() for a, b, k in zip(lo.tolist(), stop.tolist(), (at - lo).tolist())]
+                    # With the anchor's own 64 bits a name is as good as one of 128.
+                    named = b"".join(digest(data[a:b], digest_size=8, salt=k.to_bytes(2, "big")).digest() for a, b, k in zip(lo.tolist(), stop.tolist(), (at - lo).tolist()))
+                    names = np.frombuffer(named, np.int64)
                     yield pd.DataFrame(
                         {
                             "tid": [tid] * len(lo), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "at": at.astype(np.int32),
@@ -143,7 +145,7 @@ def _find_segments(width: int, floor: int):
     return packed
 
 
-SUFFIX = "tid binary, lo int, hi int, at int, anchor long, hot boolean, before binary, suffix binary"
+SUFFIX = "tid binary, lo int, hi int, at int, anchor long, before binary, suffix binary"
 
 
 def _cut_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,8 +155,8 @@ def _cut_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = _raw(text)
             for w in wanted:
                 lo, at = w["lo"], w["at"]
-                out.append((tid, lo, w["hi"], at, w["anchor"], w["hot"], data[lo:at], data[at : w["stop"]]))
-        yield pd.DataFrame(out, columns=["tid", "lo", "hi", "at", "anchor", "hot", "before", "suffix"])
+                out.append((tid, lo, w["hi"], at, w["anchor"], data[lo:at], data[at : w["stop"]]))
+        yield pd.DataFrame(out, columns=["tid", "lo", "hi", "at", "anchor", "before", "suffix"])
 
 
 def _halves(size: int, width: int, floor: int):
@@ -174,8 +176,8 @@ def _halves(size: int, width: int, floor: int):
                     core = data[zero - near : zero - far + floor]
                     key = hashlib.blake2b(anchor.to_bytes(8, "big", signed=True) + near.to_bytes(2, "big") + core, digest_size=8)
                     first, last = max(lo, at - far), min(hi, at - near)
-                    out.append((tid, first, last, at, int.from_bytes(key.digest(), "big", signed=True), True, data[first - lo : zero], suffix[: last + width - at]))
-            yield pd.DataFrame(out, columns=["tid", "lo", "hi", "at", "anchor", "hot", "before", "suffix"])
+                    out.append((tid, first, last, at, int.from_bytes(key.digest(), "big", signed=True), data[first - lo : zero], suffix[: last + width - at]))
+            yield pd.DataFrame(out, columns=["tid", "lo", "hi", "at", "anchor", "before", "suffix"])
 
     return run
 
@@ -328,19 +330,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, floo
     whole = among(shared, named.where("n > 1").select("anchor", "name", "n"), ["anchor", "name"], "n")
     whole = whole.select("tid", F.col("lo").alias("start"), F.when(F.col("stop") - F.col("lo") >= width, F.col("stop")).otherwise(F.col("lo")).alias("stop"))
     kinds = cut(named.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
-    wanted = (
-        named.join(kinds, "anchor")
-        .select("one.tid", F.struct("one.lo", "one.hi", "one.at", "one.stop", "anchor", (F.col("kinds") > most).alias("hot")).alias("w"))
-        .groupBy("tid")
-        .agg(F.collect_list("w").alias("wanted"))
-    )
     once = long.groupBy("tid").agg(F.first("text").alias("text"))
-    suffixes = cut(once.join(wanted, "tid").mapInPandas(_cut_suffixes, SUFFIX), "suffix-tuples")
-    sorting, spans = suffixes.where("not hot"), copied.union(whole)
+    edges = named.join(kinds, "anchor").select(
+        "one.tid", F.struct("one.lo", "one.hi", "one.at", "one.stop", "anchor").alias("w"), (F.col("kinds") > most).alias("crowded")
+    )
+
+    def tuples(of: DataFrame) -> DataFrame:
+        return once.join(of.groupBy("tid").agg(F.collect_list("w").alias("wanted")), "tid").mapInPandas(_cut_suffixes, SUFFIX)
+
+    sorting, spans = tuples(edges.where("not crowded")), copied.union(whole)
     if kinds.where(F.col("kinds") > most).limit(1).count():
-        small, same = _divided(suffixes.where("hot"), width, floor, most)
+        small, same = _divided(cut(tuples(edges.where("crowded")), "suffix-tuples"), width, floor, most)
         for part in small:
-            sorting = sorting.union(part)
+            sorting = sorting.unionByName(part)
         spans = spans if same is None else spans.union(same)
     induced = sorting.repartition("anchor").sortWithinPartitions("anchor", "suffix").mapInPandas(_induced_spans(width, floor), SPAN)
     return spans.union(induced).groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
