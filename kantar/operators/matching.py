@@ -22,8 +22,8 @@ def similar_names(queries: DataFrame, names: DataFrame, floor: float = M.TRIGRAM
 
     ``queries`` has ``query`` and ``names`` has ``name``, normalised and distinct.
     A text inside another shares the trigrams within its words. Queries whose
-    words all have fewer than three letters have none, so they are looked up
-    apart; there are not many different ones.
+    words all have fewer than three letters have none; they meet the names that have
+    their longest word as one of the one- and two-letter pieces.
     """
     left = queries.select("query", M.trigrams(F.col("query")).alias("t"))
     right = names.select("name", M.trigrams(F.col("name")).alias("t"))
@@ -40,10 +40,11 @@ def similar_names(queries: DataFrame, names: DataFrame, floor: float = M.TRIGRAM
     found = met.where(near | holds if inside else near).select("query", "name", "similarity")
     if not inside:
         return found
-    short = queries.where(~F.col("query").rlike("[a-z0-9]{3}") & (F.col("query") != "")).select("query")
-    apart = names.join(F.broadcast(short.where(F.length("query") <= 8)), holds).unionByName(
-        names.join(short.where(F.length("query") > 8), holds)
-    )
+    short = queries.where(~F.col("query").rlike("[a-z0-9]{3}") & (F.col("query") != ""))
+    word = F.array_max(F.transform(F.split("query", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i, F.lit(n)))
+    pieces = names.where("name <> ''").select("name", F.explode(F.array_distinct(F.concat(piece(1), piece(2)))).alias("piece"))
+    apart = short.select("query", word.alias("piece")).join(pieces, "piece").where(holds)
     apart = apart.select("query", "name", M.similarity(F.col("query"), F.col("name")).alias("similarity"))
     return found.unionByName(apart).dropDuplicates(["query", "name"])
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from kantar.functions import price
 
 
+#: Retailers up to which they are broadcast to the lists.
+MOST_RETAILERS = 10_000
+
+
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key in a total order."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -78,7 +82,9 @@ def retailer_baskets(items: DataFrame, products: DataFrame, prices: DataFrame, r
         F.sum(price.line_total(F.col("effective_price"), F.col("quantity"))).cast("decimal(18,2)").alias("total_price"),
     )
     size = items.groupBy("list_id").agg(F.count("*").alias("total_items"))
-    every = size.crossJoin(F.broadcast(retailers))
+    # A row for every list and retailer is what is asked for; retailers are sent to the lists while they are few.
+    few = retailers.limit(MOST_RETAILERS + 1).count() <= MOST_RETAILERS
+    every = size.crossJoin(F.broadcast(retailers) if few else retailers)
     matched = F.coalesce("matched_items", F.lit(0))
     return every.join(had, ["list_id", "retailer_id"], "left").select(
         "list_id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kantar.functions.geo import haversine_m, whole_metres, within
 from kantar.functions.text import normalize_name
 from kantar.operators.pricing import first_by
+from kantar.sources.sinks import staged
 
 #: Default search radius and most stores looked at.
 RADIUS_M, MOST_STORES = 15_000.0, 20
@@ -36,13 +37,15 @@ def nearest(users: DataFrame, stores: DataFrame, k: int, per: str | None = None,
     window = Window.partitionBy(*keys).orderBy("distance_m", "store_id")
     out, todo, radius = None, users, start_m
     while True:
-        met = within(todo, good, radius).withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
+        # Each ring is written, so that the next one neither plans nor works it out again.
+        met = staged(within(todo, good, radius).withColumn("position", F.row_number().over(window)).where(F.col("position") <= k), "nearest-ring")
         if radius >= most_m:
             return met if out is None else out.unionByName(met)
         have = met.groupBy("user_id").agg((F.count("*") if per is None else F.count_distinct(per)).alias("n")).where(F.col("n") >= enough)
-        done = met.join(have.select("user_id"), "user_id", "left_semi")
+        have = staged(have.select("user_id"), "nearest-have")
+        done = met.join(have, "user_id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(have.select("user_id"), "user_id", "left_anti")
+        todo = staged(todo.join(have, "user_id", "left_anti"), "nearest-todo")
         if todo.limit(1).count() == 0:
             return out
         radius = min(radius * 3, most_m)
@@ -56,14 +59,15 @@ def route_matrix(points: DataFrame, trip: str = "trip_id") -> DataFrame:
     return a.join(b, trip).select(trip, "from_id", "to_id", F.when(F.col("from_id") == F.col("to_id"), F.lit(0)).otherwise(metres).cast("long").alias("metres"))
 
 
-def greedy_route(start: DataFrame, stops: DataFrame, trip: str = "trip_id", most_stops: int = MOST_STORES) -> DataFrame:
+def greedy_route(start: DataFrame, stops: DataFrame, trip: str = "trip_id") -> DataFrame:
     """The order in which a trip visits its stops, always the nearest next; ties to the lower position.
 
-    ``start``: a row per trip with latitude and longitude. A trip has at most
-    ``most_stops`` stops, so it is one array that a fold walks through.
+    ``start``: a row per trip with latitude and longitude. The stops of a trip are
+    one array that a fold walks through to its end, however many there are; each
+    step depends on the one before, so a trip is work for one task.
     """
     spot = F.struct("position", "store_id", "latitude", "longitude")
-    held = stops.groupBy(trip).agg(F.slice(F.array_sort(F.collect_list(spot)), 1, most_stops).alias("left"))
+    held = stops.groupBy(trip).agg(F.array_sort(F.collect_list(spot)).alias("left"))
     base = start.select(trip, F.col("latitude").alias("at_lat"), F.col("longitude").alias("at_lon")).join(held, trip)
     first = F.struct(F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon"), F.col("left").alias("left"), F.slice(F.transform("left", lambda s: F.struct(s["store_id"].alias("store_id"), F.lit(0).cast("long").alias("metres"))), 1, 0).alias("route"))
 

@@ -12,6 +12,7 @@ from kantar.plans import adapters as A
 from kantar.plans.adapters import AS_OF, DOMAIN_SQL
 from kantar.plans.price_queries import SCOPE_NAME, SCOPED_SQL, day, money, text
 from kantar.plans.store_queries import NEARBY_SQL, metres_sql
+from kantar.sources import sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -255,7 +256,7 @@ OFFER_SQL = PAIR_SQL + SCOPED_SQL + f""", v_cat AS (SELECT DISTINCT category, {w
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = stores.nearby(A.users(spark, sf_dir), A.stores(spark, sf_dir))
     near = near.select("user_id", "store_id", "position", F.col("latitude").alias("user_latitude"), F.col("longitude").alias("user_longitude"), F.col("to_latitude").alias("latitude"), F.col("to_longitude").alias("longitude"))
-    return A.lists(spark, sf_dir).select("list_id", "user_id").join(near, "user_id").drop("user_id")
+    return sinks.staged(A.lists(spark, sf_dir).select("list_id", "user_id").join(near, "user_id").drop("user_id"), "candidates")
 
 
 def _offers(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
@@ -315,7 +316,8 @@ MONEY_SQL = "CAST(basket AS DOUBLE) AS basket, CAST(travel AS DOUBLE) AS travel,
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     candidates = _candidates(spark, sf_dir)
     every = plans.enumerate_plans(candidates)
-    return every, plans.assign(every, _offers(spark, sf_dir, candidates))
+    # Assignments are read for baskets and again for items, so they are worked out once.
+    return every, sinks.staged(plans.assign(every, _offers(spark, sf_dir, candidates)), "assigned")
 
 
 @query(PLAN_SQL + "SELECT list_id, CAST(plan AS INTEGER) AS plan, s1, s2 FROM v_plan")
