@@ -302,6 +302,12 @@ def _divided(hot: DataFrame, width: int, floor: int, most: int) -> tuple[list[Da
     return small, found.unionByName(named.select("tid", F.lit(0).alias("start"), F.lit(0).alias("stop")))
 
 
+def _once(docs: DataFrame, text: str, floor: int) -> DataFrame:
+    """(tid, text): each text of ``floor`` bytes or more once, dealt by tid. Wherever a query needs it, it is shuffled once."""
+    texts = docs.select(text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
+    return texts.where(F.octet_length("text") >= floor).groupBy("tid").agg(F.min("text").alias("text"))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, floor: int = FLOOR, most: int = MOST_NAMES) -> DataFrame:
     """(tid, spans): for each text that repeats ``floor`` bytes, its covered [start, stop) byte ranges.
 
@@ -330,7 +336,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH, floo
     whole = among(shared, named.where("n > 1").select("anchor", "name", "n"), ["anchor", "name"], "n")
     whole = whole.select("tid", F.col("lo").alias("start"), F.when(F.col("stop") - F.col("lo") >= width, F.col("stop")).otherwise(F.col("lo")).alias("stop"))
     kinds = cut(named.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
-    once = long.groupBy("tid").agg(F.first("text").alias("text"))
+    once = _once(docs, text, floor)
     edges = named.join(kinds, "anchor").select(
         "one.tid", F.struct("one.lo", "one.hi", "one.at", "one.stop", "anchor").alias("w"), (F.col("kinds") > most).alias("crowded")
     )
@@ -386,9 +392,14 @@ def dedup_substrings(
     ``repeats`` says whether ``floor`` bytes of the text start elsewhere too, even
     if they are too few to be removed.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_id(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    held = rows.join(repeated_spans(docs, text, width, floor, most), "tid", "left")
-    return held.select("id", F.pandas_udf(_apply, APPLIED)("text", "spans").alias("x")).select(F.col("id").alias(id_col), "x.*")
+    applied = F.pandas_udf(_apply, APPLIED)
+    short = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) < floor
+    none = F.lit(None).cast("array<struct<start:int,stop:int>>")
+    kept = docs.where(short).select(F.col(id_col).alias("id"), applied(F.col(text), none).alias("x"))
+    # Each long text is worked on once and meets the ids of its rows, so texts don't move again.
+    done = _once(docs, text, floor).join(repeated_spans(docs, text, width, floor, most), "tid", "left").select("tid", applied("text", "spans").alias("x"))
+    rows = docs.where(~short).select(F.col(id_col).alias("id"), text_id(F.col(text)).alias("tid"))
+    return kept.unionByName(rows.join(done, "tid").select("id", "x")).select(F.col("id").alias(id_col), "x.*")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
