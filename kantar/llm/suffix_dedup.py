@@ -396,10 +396,11 @@ def dedup_substrings(
     short = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) < floor
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
     kept = docs.where(short).select(F.col(id_col).alias("id"), applied(F.col(text), none).alias("x"))
-    # Each long text is worked on once and meets the ids of its rows, so texts don't move again.
-    done = _once(docs, text, floor).join(repeated_spans(docs, text, width, floor, most), "tid", "left").select("tid", applied("text", "spans").alias("x"))
+    # The ids of the rows come to the texts and their spans, which lie by tid already, so texts don't move again.
+    held = _once(docs, text, floor).join(repeated_spans(docs, text, width, floor, most), "tid", "left")
     rows = docs.where(~short).select(F.col(id_col).alias("id"), text_id(F.col(text)).alias("tid"))
-    return kept.unionByName(rows.join(done, "tid").select("id", "x")).select(F.col("id").alias(id_col), "x.*")
+    cut_out = rows.join(held, "tid").select("id", applied("text", "spans").alias("x"))
+    return kept.unionByName(cut_out).select(F.col("id").alias(id_col), "x.*")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
