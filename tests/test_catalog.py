@@ -17,3 +17,11 @@ def test_every_query_has_its_sql():
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_equals_sql(spark, name):
     assert differences(spark, catalog.QUERIES[name], catalog.ORACLE[name], WHERE) == []
+
+
+def test_modules_are_imported_without_a_session():
+    """The driver reads the list of queries before there is a session."""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, timeout=120)
