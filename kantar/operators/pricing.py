@@ -118,35 +118,68 @@ def recommendation(sums: DataFrame, single: DataFrame) -> DataFrame:
 SCOPES = {1: "STORE", 2: "STORE_FORMAT", 3: "RETAILER"}
 
 
-def scoped_prices(prices: DataFrame, stores: DataFrame, day: Column) -> DataFrame:
-    """The price of every product in every store of its retailer on ``day``.
+CELLS = ["product_id", "retailer_id", "price_date", "price_id", "effective_price", "regular_price", "discounted_price"]
 
-    A price of the store goes before one of its format, and that before one of
-    the whole retailer; within a scope the newest counts, then the highest id.
-    Prices that are void on the day are dropped first. Each scope is narrowed to
-    one row per product at its own grain, so that only winners multiply by stores.
+
+def _winners(prices: DataFrame, day: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The price that counts per product and store, per product and format name, and per product of the whole retailer.
+
+    Prices that are void on the day are dropped first; the newest counts, then the highest id.
     """
     known = prices.where(F.col("price_date") <= day).withColumn("effective_price", as_of_price(day)).where("effective_price IS NOT NULL")
     named = F.lower(F.trim("format_name"))
     known = known.withColumn("named", F.when(F.coalesce(named, F.lit("")) != "", named))
     newest = [F.desc("price_date"), F.desc("price_id")]
-    cells = ["product_id", "retailer_id", "price_date", "price_id", "effective_price", "regular_price", "discounted_price"]
-    own = first_by(known.where("store_id IS NOT NULL"), ["product_id", "store_id"], newest).select(*cells, "store_id")
-    by_format = first_by(known.where("store_id IS NULL AND named IS NOT NULL"), ["product_id", "named"], newest).select(*cells, "named")
-    general = first_by(known.where("store_id IS NULL AND named IS NULL"), ["product_id"], newest).select(*cells)
-    place = stores.select("store_id", "retailer_id", F.lower("format_name").alias("by_name"), F.lower("format_code").alias("by_code"))
-    keys = place.select("store_id", "retailer_id", F.explode(F.array_distinct(F.array("by_name", "by_code"))).alias("named"))
-    every = (
-        own.join(place.select("store_id", "retailer_id"), ["store_id", "retailer_id"]).withColumn("scope", F.lit(1)).select("store_id", *cells, "scope")
-        .unionByName(by_format.join(keys, ["retailer_id", "named"]).withColumn("scope", F.lit(2)).select("store_id", *cells, "scope"))
-        .unionByName(general.join(place.select("store_id", "retailer_id"), "retailer_id").withColumn("scope", F.lit(3)).select("store_id", *cells, "scope"))
-    )
+    own = first_by(known.where("store_id IS NOT NULL"), ["product_id", "store_id"], newest).select(*CELLS, "store_id")
+    by_format = first_by(known.where("store_id IS NULL AND named IS NOT NULL"), ["product_id", "named"], newest).select(*CELLS, "named")
+    general = first_by(known.where("store_id IS NULL AND named IS NULL"), ["product_id"], newest).select(*CELLS)
+    return own, by_format, general
+
+
+def format_key() -> Column:
+    """One text for the retailer and the format of a store: stores that share it share all prices but their own."""
+    return F.to_json(F.struct("retailer_id", F.lower("format_name").alias("by_name"), F.lower("format_code").alias("by_code")))
+
+
+def _first_scope(every: DataFrame, place: str) -> DataFrame:
+    """Of the prices of a product in a place the one that goes first: by scope, then the newest, then the highest id."""
     order = F.struct("scope", F.date_diff(F.lit("9999-12-31").cast("date"), F.col("price_date")), -F.col("price_id"))
-    won = every.groupBy("store_id", "product_id").agg(
+    won = every.groupBy(place, "product_id").agg(
         F.min_by(F.struct("retailer_id", "price_date", "effective_price", "regular_price", "discounted_price", "scope"), order).alias("x")
     )
     name = F.when(F.col("x.scope") == 1, SCOPES[1]).when(F.col("x.scope") == 2, SCOPES[2]).otherwise(SCOPES[3])
-    return won.select("store_id", "product_id", "x.retailer_id", "x.price_date", "x.effective_price", "x.regular_price", "x.discounted_price", name.alias("price_scope"))
+    return won.select(place, "product_id", "x.retailer_id", "x.price_date", "x.effective_price", "x.regular_price", "x.discounted_price", name.alias("price_scope"))
+
+
+def _shared_scopes(by_format: DataFrame, general: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """Format and retailer prices in each of ``places`` (``key``, ``retailer_id``, ``format_name``, ``format_code``)."""
+    named = places.select(key, "retailer_id", F.explode(F.array_distinct(F.array(F.lower("format_name"), F.lower("format_code")))).alias("named"))
+    formats = by_format.join(named, ["retailer_id", "named"]).withColumn("scope", F.lit(2)).select(key, *CELLS, "scope")
+    return formats.unionByName(general.join(places.select(key, "retailer_id"), "retailer_id").withColumn("scope", F.lit(3)).select(key, *CELLS, "scope"))
+
+
+def scoped_prices(prices: DataFrame, stores: DataFrame, day: Column) -> DataFrame:
+    """The price of every product in every store of its retailer on ``day``.
+
+    A price of the store goes before one of its format, and that before one of
+    the whole retailer. Each scope is narrowed to one row per product at its own
+    grain, so that only winners multiply by stores.
+    """
+    own, by_format, general = _winners(prices, day)
+    own = own.join(stores.select("store_id", "retailer_id"), ["store_id", "retailer_id"]).withColumn("scope", F.lit(1)).select("store_id", *CELLS, "scope")
+    return _first_scope(own.unionByName(_shared_scopes(by_format, general, stores, "store_id")), "store_id")
+
+
+def prices_by_level(prices: DataFrame, stores: DataFrame, day: Column) -> tuple[DataFrame, DataFrame]:
+    """(stores' own prices, prices per format of a retailer): what ``scoped_prices`` says, without a row per store and product.
+
+    The second has ``fmt`` (see ``format_key``) in place of ``store_id``; a store's own
+    price of a product goes before it.
+    """
+    own, by_format, general = _winners(prices, day)
+    own = own.join(stores.select("store_id", "retailer_id"), ["store_id", "retailer_id"]).withColumn("price_scope", F.lit(SCOPES[1]))
+    formats = stores.select(format_key().alias("fmt"), "retailer_id", "format_name", "format_code").dropDuplicates(["fmt"])
+    return own, _first_scope(_shared_scopes(by_format, general, formats, "fmt"), "fmt")
 
 
 def snapshot(prices: DataFrame, group: list, key: list, order: list) -> DataFrame:
