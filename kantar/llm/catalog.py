@@ -6,6 +6,8 @@ import corpus_pipeline
 from kantar.llm import (
     chat_format,
     decontaminate,
+    fill_in_middle,
+    filter_audit,
     html_extract,
     knn_join,
     line_dedup,
@@ -29,6 +31,8 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -38,4 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secrets.OP1_SQL,
         "op2_voronoi_knn": knn_join.OP2_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_fill_in_middle": fill_in_middle.OP13_SQL,
     }
