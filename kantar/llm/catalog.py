@@ -16,6 +16,7 @@ from kantar.llm import (
     secrets,
     simhash,
     suffix_dedup,
+    token_files,
 )
 
 
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op11_token_files": token_files.op11_token_files,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
