@@ -18,7 +18,10 @@ tree that judges in the same way; so small hosts profit from others.
 
 Some importance is known before any count. Elements whose meaning is given by
 HTML or by customary names (``nav``, ``aside``, ``form``, ``class="cookie"`` and
-so on) have none. Where a page marks its main part (``article``, ``main``), text
+so on; a class or id counts as a whole, never by a piece such as that in
+``no-sidebar``) have none. Names never count on the main part itself, and some that an
+article's own parts bear too not inside it; a page that names would leave empty is read
+without them. Where a page marks its main part (``article``, ``main``), text
 outside has none. Inside, the site decides on flow elements as on others, but by
 pages of different main text: pages that share all of it count once (a site of
 copies must not lose its articles). The main part itself is not judged.
@@ -90,11 +93,16 @@ UNIMPORTANT_NAMES = frozenset(
     recommendations newsletter subscribe subscription signup login comment comments commentlist disqus respond reply
     replies discussion widget searchform copyright skip""".split()
 )
+#: Of these, names that an article's own parts may have as well: in the main part only the trees decide on them.
+OF_ARTICLES_TOO = frozenset("discussion notice notices banner search alert skip signup login reply replies copyright menu sidebar".split())
 OUTSIDE_NAMES = frozenset("header head top bottom".split())
+#: In names of several words: first words that speak of the element's own state, and last words of containers.
+STATES = frozenset("no not non with without has have is hide hides hidden show shows allow enable disable open close closed type format status tag category".split())
+CONTAINERS = frozenset("bar block box buttons button container content form inner item items links list panel section area widget widgets wrap wrapper icons unit slot banner text message popup overlay title toggle".split())
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-NAMES = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[-_]+")
 
 
 @dataclass
@@ -105,24 +113,38 @@ class Page:
     parents: list[int] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
     zero: list[bool] = field(default_factory=list)
+    named: list[frozenset] = field(default_factory=list)
     main: list[bool] = field(default_factory=list)
     events: list[tuple] = field(default_factory=list)
 
 
-def _meaning(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label in the tree, known to be unimportant, known to be the main part."""
-    label, zero, main = tag, tag in UNIMPORTANT_TAGS or tag in NO_TEXT, tag in MAIN_TAGS
+def named(token: str, names: frozenset) -> str | None:
+    """Which of ``names`` a whole class or id says the element is: ``sidebar``, ``site-footer``, ``share-buttons``, but not ``no-sidebar`` or ``comments-open``."""
+    first, *rest = [w for w in WORDS.split(token) if w] or [""]
+    if not rest:
+        return first if first in names else None
+    last = rest[-1]
+    if last in names and first not in STATES:
+        return last
+    return first if first in names and (last in CONTAINERS or last.isdigit()) else None
+
+
+NONE: frozenset = frozenset()
+
+
+def _meaning(tag: str, attributes: str) -> tuple[str, bool, frozenset, bool]:
+    """Label in the tree, unimportant by what HTML says, customary names of unimportant parts, known to be the main part."""
+    label, zero, main, names = tag, tag in UNIMPORTANT_TAGS or tag in NO_TEXT, tag in MAIN_TAGS, NONE
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), "").lower(), name.lower()
-            words = NAMES.findall(value)
             if name in ("class", "id"):
-                label += f".{re.sub(r'[0-9]{3,}', '', value.split()[0])}" if value.split() else ""
-            if tag not in ("html", "body"):
-                zero |= any(w in UNIMPORTANT_NAMES for w in words) and not (main and name == "itemprop")
+                tokens = value.split()
+                label += f".{re.sub(r'[0-9]{3,}', '', tokens[0])}" if tokens else ""
+                names |= {n for t in tokens if (n := named(t, UNIMPORTANT_NAMES))}
             main |= (name == "role" and value == "main") or (name == "itemprop" and value == "articlebody")
             zero |= name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-    return label, zero, main
+    return label, zero, NONE if main or tag in ("html", "body") else names, main
 
 
 def parse(text: str) -> Page:
@@ -183,12 +205,13 @@ def parse(text: str) -> Page:
         if tag == "br":
             page.events.append((2, " "))
             continue
-        label, zero, main = _meaning(tag, found[3])
+        label, zero, names, main = _meaning(tag, found[3])
         e = len(page.tags)
         page.tags.append(tag)
         page.parents.append(stack[-1] if stack else -1)
         page.labels.append(label)
         page.zero.append(zero)
+        page.named.append(names)
         page.main.append(main)
         page.events.append((0, e))
         if tag in VOID or (found[3].endswith("/") and tag not in BLOCK and tag not in RAW):
@@ -227,7 +250,7 @@ def _judged(page: Page) -> list[bool]:
     out, in_main, in_zero = [], [], []
     for e, parent in enumerate(page.parents):
         in_main.append(page.main[e] or (parent >= 0 and in_main[parent]))
-        in_zero.append(page.zero[e] or (parent >= 0 and in_zero[parent]))
+        in_zero.append(page.zero[e] or bool(page.named[e] - OF_ARTICLES_TOO if in_main[e] else page.named[e]) or (parent >= 0 and in_zero[parent]))
         tag = page.tags[e]
         out.append(tag in BLOCK and tag not in ("html", "body") and not page.main[e] and not in_zero[e])
     return out
@@ -297,8 +320,25 @@ def features(page: Page) -> tuple[dict[int, tuple[int, int]], set[tuple[int, int
 
 
 def main_text(page: Page, removed: frozenset | set = frozenset()) -> str:
-    """The text that is left, by blocks, without unimportant branches. ``removed`` has places and content nodes."""
+    """The text that is left, by blocks, without unimportant branches. ``removed`` has places and content nodes.
+
+    Names are only customary. Where nothing would be left, they don't count on what the
+    main part stands in, and if that isn't enough, nowhere.
+    """
     places, judged, contents = (_places(page), _judged(page), _contents(page)) if removed else (None, None, None)
+    gone = {e for e in range(len(page.tags)) if removed and judged[e] and (places[e] in removed or node(places[e], contents[e]) in removed)}
+    text = _text(page, gone, page.named)
+    if not text and any(page.named):
+        holds: set[int] = set()
+        for e, parent in enumerate(page.parents):
+            while page.main[e] and parent >= 0 and parent not in holds:
+                holds.add(parent)
+                parent = page.parents[parent]
+        text = _text(page, gone, [NONE if e in holds else n for e, n in enumerate(page.named)]) or _text(page, gone, [NONE] * len(page.tags))
+    return text
+
+
+def _text(page: Page, gone: set[int], names: list[frozenset]) -> str:
     zeroed: list[bool] = []
     in_main: list[bool] = []
     marked = False
@@ -306,11 +346,9 @@ def main_text(page: Page, removed: frozenset | set = frozenset()) -> str:
         above = parent >= 0 and zeroed[parent]
         inside = parent >= 0 and in_main[parent]
         tag = page.tags[e]
-        zero = page.zero[e] or (not inside and tag == "header")
+        zero = page.zero[e] or e in gone or bool(names[e] - OF_ARTICLES_TOO if inside else names[e]) or (not inside and tag == "header")
         if not zero and not inside and tag not in ("html", "body") and not page.main[e]:
-            zero = any(w in OUTSIDE_NAMES for w in NAMES.findall(page.labels[e].partition(".")[2]))
-        if not zero and removed and judged[e]:
-            zero = places[e] in removed or node(places[e], contents[e]) in removed
+            zero = named(page.labels[e].partition(".")[2], OUTSIDE_NAMES) is not None
         zeroed.append(above or zero)
         in_main.append(inside or page.main[e])
         marked |= in_main[-1] and not zeroed[-1]

@@ -127,3 +127,32 @@ def test_a_repeated_paragraph_without_class_goes_and_its_neighbours_stay(spark):
     got = {r.page_id: r.text for r in H.extract_main(df).collect()}
     assert got == {i: f"Title {i}\nText {i} of {i * 7}\nEnd {i * 7}" for i in range(30)}
     assert H.main_text(H.parse(rows[3][2])) == "Title 3\nText 3 of 21\nRead more on our site\nEnd 21"  # without the tree
+
+
+def test_names_on_or_around_the_main_part_cost_no_article():
+    body = "<h1>Title</h1><p>Text of the article.</p>"
+    want = "Title\nText of the article."
+    for page in (
+        f'<body class="has-sidebar"><article class="post type-post comments-open">{body}</article></body>',
+        f'<main class="site-main no-sidebar">{body}</main>',
+        f'<div class="content with-sidebar">{body}</div>',
+        f'<div class="sidebar-right page"><article id="comments-closed">{body}</article></div>',
+        f'<div class="modal"><article>{body}</article></div>',
+        f'<div class="related"><article>teaser</article></div><article class="related">{body}</article>',
+        f'<div id="overlay">{body}</div>',
+    ):
+        assert text(page) == want, page
+    assert text(f'<article>{body}<section id="discussion"><p>What it means</p></section><div class="notice">Note well</div></article>') == want + "\nWhat it means\nNote well"
+    gone = '<div class="site-footer">f</div><div class="share-buttons">s</div><ol class="commentlist"><li id="comment-12">c</li></ol><div class="post-comments">d</div><div class="related-posts-list">r</div>'
+    assert text(f"<article>{body}{gone}</article>") == want
+
+
+def test_names_are_read_as_a_whole():
+    assert [H.named(t, H.UNIMPORTANT_NAMES) for t in ("sidebar", "left-sidebar", "no-sidebar", "comments-open", "share_buttons", "ad-12", "adopt", "load", "navigation-free", "")] == ["sidebar", "sidebar", None, None, "share", "ad", None, None, None, None]
+
+
+def test_page_without_article_or_names_is_cleaned_by_the_tree(spark):
+    page = "<body><div class='u'><p>Home</p><p>Contact us at the desk</p></div><div class='v'><h2>Story {0}</h2><p>Told {1} times</p><p>It ends at {0}</p></div><div class='w'>All rights are ours</div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, i * 3)) for i in range(25)]
+    got = {r.page_id: r.text for r in H.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\nTold {i * 3} times\nIt ends at {i}" for i in range(25)}
