@@ -92,31 +92,3 @@ def match_items(items: DataFrame, products: DataFrame, feedback: DataFrame | Non
     matched = matched.withColumn("blocks", blocks).withColumn("explanation", explanation()).select(*columns)
     kept = items.where("matching_status = 'CONFIRMED'").select("item_id", "matching_rule", "matching_status", "canonical_id", F.col("score").cast("decimal(5,4)").alias("score"), F.lit(False).alias("blocks"), F.lit(ALREADY).alias("explanation"))
     return matched.unionByName(kept)
-
-
-def resolve(items: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items after the users' answers, answers refused with ``reason``).
-
-    ``answers``: ``item_id``, ``action`` (CONFIRM or REJECT), ``chosen``, and
-    ``answer_id``, of which the last counts. An answer needs an item with a decision;
-    a confirmation names a product, a rejection does not.
-    """
-    known = answers.join(items.select("item_id", "decision_id", F.lit(True).alias("known")), "item_id", "left")
-    reason = (
-        F.when(F.col("known").isNull(), "ITEM_NOT_FOUND")
-        .when(F.col("action").isNull() | ~F.col("action").isin("CONFIRM", "REJECT"), "ACTION_REQUIRED")
-        .when(F.col("decision_id").isNull(), "NO_DECISION")
-        .when((F.col("action") == "CONFIRM") & F.col("chosen").isNull(), "PRODUCT_REQUIRED")
-        .when((F.col("action") == "REJECT") & F.col("chosen").isNotNull(), "PRODUCT_NOT_ALLOWED")
-    )
-    told = known.withColumn("reason", reason)
-    last = first_by(told.where("reason IS NULL"), ["item_id"], [F.desc("answer_id")]).select("item_id", F.col("action"), F.col("chosen"))
-    both = items.join(last, "item_id", "left")
-    yes, no = F.col("action") == "CONFIRM", F.col("action") == "REJECT"
-    after = both.withColumns({
-        "matching_status": F.when(yes, "CONFIRMED").when(no, "UNMATCHED").otherwise(F.col("matching_status")),
-        "canonical_id": F.when(yes, F.col("chosen")).when(no, F.lit(None)).otherwise(F.col("canonical_id")),
-        "score": F.when(yes, F.lit(1)).otherwise(F.col("score")).cast("decimal(5,4)"),
-        "algorithm": F.when(yes, "user-confirmation-v1").when(no, "user-rejection-v1").otherwise(F.col("algorithm")),
-    }).select(*items.columns)
-    return after, told.where("reason IS NOT NULL").select(*answers.columns, "reason")

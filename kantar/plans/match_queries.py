@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kantar import schema
 from kantar.functions import text as T
-from kantar.operators import matching, offers, plans, stores, upsert
+from kantar.functions.geo import haversine_m, whole_metres
+from kantar.operators import ledger, matching, offers, plans, routing, stores, upsert
 from kantar.plans import adapters as A
 from kantar.plans.adapters import AS_OF, DOMAIN_SQL
 from kantar.plans.price_queries import SCOPE_NAME, SCOPED_SQL, day, money, text
@@ -183,6 +184,59 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("query_id", "top_candidate", "matched", money("score"), "status")
 
 
+LEDGER_SQL = ASKED_SQL + """, v_first AS (
+  SELECT query_id, query, canonical_id AS top, CASE WHEN score >= 0.92 THEN canonical_id END AS matched, coalesce(score, 0) AS score,
+    CASE WHEN score >= 0.92 THEN 'AUTO_ACCEPTED' WHEN score >= 0.75 THEN 'NEEDS_CONFIRMATION' ELSE 'UNMATCHED' END AS status, 'c' || (query_id % 3) AS client
+  FROM v_asked LEFT JOIN (SELECT query_id, canonical_id, score FROM v_candidate WHERE rank = 1) USING (query_id)
+), v_said AS (
+  SELECT *, CASE WHEN query_id % 4 = 0 THEN 'CONFIRMED' WHEN query_id % 4 = 1 THEN 'REJECTED' END AS action, CASE WHEN query_id % 4 = 0 THEN query_id END AS chosen,
+    CASE WHEN query_id % 4 >= 2 THEN 'ACTION_REQUIRED' WHEN query_id % 5 = 0 THEN 'NOT_OWNER' END AS reason FROM v_first
+), v_word AS (
+  SELECT client, query, arg_max(action, query_id) AS action, arg_max(coalesce(chosen, -1), query_id) AS chosen FROM v_said WHERE reason IS NULL GROUP BY ALL
+)"""
+
+
+def _ledger(spark: SparkSession, sf_dir: str):
+    """(decisions told again, decisions, feedback, its rejects): texts asked, answered by their clients, and asked again."""
+    asked = _asked(spark, sf_dir).withColumn("client", T.token_hash(F.concat(F.lit("c"), (F.col("query_id") % 3).cast("string"))))
+    known = A.canonical(spark, sf_dir)
+    found = sinks.staged(matching.candidates(asked.select("query_id", "raw"), known), "ledger-candidates")
+    at = F.lit("2000-06-17").cast("timestamp")
+    empty = spark.createDataFrame([], "decision_id long, feedback_id long")
+    decisions = sinks.staged(ledger.record_decisions(matching.decide(asked, found), empty, at)[0], "ledger-log")
+    k = F.col("query_id")
+    said = decisions.select(
+        k.alias("said_id"), "decision_id", F.when(k % 5 == 0, "other").otherwise(F.concat(F.lit("c"), (k % 3).cast("string"))).alias("client"),
+        F.when(k % 4 == 0, "CONFIRMED").when(k % 4 == 1, "REJECTED").alias("action"), F.when(k % 4 == 0, k).alias("canonical_id"), F.lit(None).cast("string").alias("note"), F.timestamp_seconds(k).alias("at"),
+    )
+    feedback, rejects = ledger.record_feedback(said, decisions, known, empty)
+    feedback = sinks.staged(feedback, "ledger-said")
+    again = matching.decide(asked, found, ledger.reusable(feedback, decisions))
+    return again, decisions, feedback, rejects
+
+
+@query(LEDGER_SQL + """SELECT f.query_id, CASE w.action WHEN 'CONFIRMED' THEN w.chosen WHEN 'REJECTED' THEN NULL ELSE top END AS top_candidate, CASE w.action WHEN 'CONFIRMED' THEN w.chosen WHEN 'REJECTED' THEN NULL ELSE matched END AS matched,
+  CAST(CASE w.action WHEN 'CONFIRMED' THEN 1 WHEN 'REJECTED' THEN 0 ELSE score END AS DOUBLE) AS score, CASE w.action WHEN 'CONFIRMED' THEN 'AUTO_ACCEPTED' WHEN 'REJECTED' THEN 'UNMATCHED' ELSE status END AS status, w.action IS NOT NULL AS reused
+FROM v_first f LEFT JOIN v_word w ON w.client = f.client AND w.query = f.query""")
+def match_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts decided again, after decisions were written with ids and clients answered some of them by id."""
+    return _ledger(spark, sf_dir)[0].select("query_id", "top_candidate", "matched", money("score"), "status", "reused")
+
+
+@query(LEDGER_SQL + "SELECT query_id AS said_id, action, chosen AS canonical_id, reason FROM v_said WHERE reason IS NOT NULL")
+def match_ledger_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback that is refused: without an action, or on another client's decision."""
+    return _ledger(spark, sf_dir)[3].select("said_id", "action", "canonical_id", "reason")
+
+
+@query(LEDGER_SQL + "SELECT query_id, query, top AS top_candidate, matched, CAST(score AS DOUBLE) AS score, status, sha256(client) AS client, true AS own_id FROM v_first")
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions as they are written; ``own_id`` says that no other row has the id."""
+    log = _ledger(spark, sf_dir)[1]
+    times = log.groupBy("decision_id").agg(F.count("*").alias("times"))
+    return log.join(times, "decision_id").select("query_id", "query", "top_candidate", "matched", money("score"), "status", "client", (F.col("times") == 1).alias("own_id"))
+
+
 FEEDBACK_SQL = f""", v_feedback AS (
   SELECT e.event_id, 'c' || e.user_id AS client, (e.event_id * 7) % (SELECT count(*) FROM part) AS part, CASE WHEN e.event_id % 3 = 0 THEN 'CONFIRMED' ELSE 'REJECTED' END AS action FROM events e
 )
@@ -337,6 +391,54 @@ def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("list_id", "plan", "covered", "km", "seconds", *[money(c) for c in ("basket", "travel", "time", "stop", "total")])
 
 
+def _way(leg: str, a: str, b: str) -> tuple[str, str]:
+    """Metres and seconds as supplied for a leg between two positions."""
+    metres = f"CAST(round({leg} * 1000) AS BIGINT)"
+    return f"CAST(floor({metres} * 1.5::DOUBLE + {a} * 10 + 0.5) AS BIGINT) / 1000.0::DOUBLE", f"CAST(floor({metres} * 0.1::DOUBLE + {b} * 7.5::DOUBLE + 0.5) AS BIGINT)"
+
+
+_UA, _AU, _UB, _BU, _AB, _BA = (_way(*x) for x in (("ua", "0", "p1"), ("au", "p1", "0"), ("ub", "0", "p2"), ("bu", "p2", "0"), ("ab", "p1", "p2"), ("ba", "p2", "p1")))
+SUPPLIED_SQL = PLAN_SQL + f""", v_way AS (
+  SELECT l.*, x.position AS p1, y.position AS p2 FROM v_leg l JOIN v_c x ON x.list_id = l.list_id AND x.store_id = l.s1 LEFT JOIN v_c y ON y.list_id = l.list_id AND y.store_id = l.s2 WHERE l.list_id % 6 = 0
+), v_timed AS (
+  SELECT *, 0.0::DOUBLE + {_UA[0]} + {_AU[0]} AS k1, 0.0::DOUBLE + {_UA[0]} + {_AB[0]} + {_BU[0]} AS k2, 0.0::DOUBLE + {_UB[0]} + {_BA[0]} + {_AU[0]} AS k3, {_UA[1]} + {_AU[1]} AS t1, {_UA[1]} + {_AB[1]} + {_BU[1]} AS t2, {_UB[1]} + {_BA[1]} + {_AU[1]} AS t3 FROM v_way
+), v_supplied AS (
+  SELECT list_id, plan, floor((CASE WHEN stops = 1 THEN k1 WHEN t3 < t2 OR (t3 = t2 AND floor(k3 * 100 + 0.5) < floor(k2 * 100 + 0.5)) THEN k3 ELSE k2 END) * 100 + 0.5) / 100.0::DOUBLE AS km,
+    CASE WHEN stops = 1 THEN t1 WHEN t3 < t2 THEN t3 ELSE t2 END AS seconds FROM v_timed
+), v_seval AS (
+  SELECT list_id, plan, covered, basket, stop, coalesce(s.km, e.km) AS km, coalesce(s.seconds, e.seconds) AS seconds, CAST(round(CAST(coalesce(s.km, e.km) AS DECIMAL(12,2)) * 20, 2) AS DECIMAL(18,2)) AS travel,
+    CAST(round(CAST(round(CAST(coalesce(s.seconds, e.seconds) AS DECIMAL(18,9)) / 3600, 8) AS DECIMAL(18,8)) * 400, 2) AS DECIMAL(18,2)) AS time FROM v_eval e LEFT JOIN v_supplied s USING (list_id, plan)
+)"""
+
+
+def _supplied(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(way-points, legs): of six lists one has a whole matrix; the others' lack a leg, double one, have one below zero, have none, or know a point too many."""
+    points = routing.points_of(candidates)
+    p, kind = F.col, F.col("trip_id") % 6
+    end = lambda n: points.select("trip_id", p("point_id").alias(f"{n}_id"), p("position").alias(n), p("latitude").alias(f"{n}_lat"), p("longitude").alias(f"{n}_lon"))
+    metres = whole_metres(haversine_m(p("from_lat"), p("from_lon"), p("to_lat"), p("to_lon")))
+    back = (p("from") == 1) & (p("to") == 0)
+    legs = end("from").join(end("to"), "trip_id").where((kind != 4) & ~((kind == 1) & back))
+    told = legs.select("trip_id", "from_id", F.when((kind == 5) & back, "elsewhere").otherwise(p("to_id")).alias("to_id"), (F.when((kind == 3) & back, -1.0).otherwise(metres * 1.5 + p("from") * 10)).alias("metres"), (metres * 0.1 + p("to") * 7.5).alias("seconds"), back.alias("back"))
+    return points, told.unionByName(told.where((kind == 2) & p("back"))).drop("back")
+
+
+@query(SUPPLIED_SQL + "SELECT list_id, CAST(plan AS INTEGER) AS plan, covered, km, seconds, CAST(travel AS DOUBLE) AS travel, CAST(time AS DOUBLE) AS time, CAST(CAST(basket + travel + time + stop AS DECIMAL(18,2)) AS DOUBLE) AS total FROM v_seval")
+def plan_costs_supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of plans where callers supply ways and times; lists whose matrix isn't whole go by great circles."""
+    candidates = _candidates(spark, sf_dir)
+    every = plans.enumerate_plans(candidates)
+    assigned = sinks.staged(plans.assign(every, _offers(spark, sf_dir, candidates)), "assigned")
+    told = plans.evaluate(every, assigned, matrices=routing.usable(*_supplied(candidates)))
+    return told.select("list_id", "plan", "covered", "km", "seconds", *[money(c) for c in ("travel", "time", "total")])
+
+
+@query(OFFER_SQL + """SELECT DISTINCT list_id, CASE list_id % 6 WHEN 1 THEN 'PAIR_MISSING' WHEN 2 THEN 'PAIR_DOUBLED' WHEN 3 THEN 'NOT_A_NUMBER' WHEN 4 THEN 'NO_MATRIX' WHEN 5 THEN 'POINT_UNKNOWN' END AS reason FROM v_pair""")
+def supplied_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the matrix of each list; null where it is taken."""
+    return routing.judge(*_supplied(_candidates(spark, sf_dir))).select(F.col("trip_id").alias("list_id"), "reason")
+
+
 ANY = "SELECT * FROM v_eval WHERE covered > 0"
 BY_TOTAL = "QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY covered DESC, total, stops, plan) = 1"
 
