@@ -124,6 +124,8 @@ def masked(sums: np.ndarray) -> np.ndarray:
 
 # Fixed value: where byte-level pre-tokenizers cut (tried here on single pieces, below U+0500 alone).
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that are cut off letters before them.
+ENDS = frozenset(".,;:!?")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -134,6 +136,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """As ``to_pylist``, without a scalar for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Token ids of texts, with the ids of pieces that were met before kept."""
 
@@ -158,31 +165,54 @@ class Encoder:
         # Places in the pool by piece: those that follow a space, and those that begin a text.
         self.inner: dict[str, int] = {}
         self.first: dict[str, int] = {}
-        self.tokens: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         self.starts, self.sizes, self.flags, self.pool = array("q"), array("q"), array("b"), array("I")
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of what is not cut any more."""
+        told = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(told)]
+
+    def _mark(self, mark: str) -> list[int]:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self.marks[mark] = self._word(mark)
+        return ids
+
     def _ids(self, piece: str) -> list[int]:
-        if piece and max(piece) >= "Ԁ":
+        if piece and max(piece) >= "\u0500":
             return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        # Most pieces are letters alone after their space, and are not cut.
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._word(piece)
         out: list[int] = []
         for word in self.cuts.findall(piece):
-            ids = self.tokens.get(word)
-            if ids is None:
-                told = word.encode().decode("latin-1").translate(self.letters)
-                ids = self.tokens[word] = [t.id for t in self.tokenizer.model.tokenize(told)]
-            out += ids
+            out += self._word(word) if len(word) > 2 else self._mark(word)
         return out
 
-    def _place(self, piece: str, known: dict[str, int], before: str) -> int:
-        at = known.get(piece)
-        if at is None:
-            at = known[piece] = len(self.starts)
+    def _learn(self, piece: str, known: dict[str, int], before: str) -> int:
+        stem = piece[:-1]
+        if piece[-1:] in ENDS and piece and stem.isalpha() and max(stem) < "\u0500":
+            # Letters before a mark that is always cut off are looked up by themselves.
+            at = known.get(stem)
+            at = self._learn(stem, known, before) if at is None else at
+            start = self.starts[at]
+            ids = [*self.pool[start : start + self.sizes[at]], *self._mark(piece[-1])]
+        else:
             ids = self._ids(before + piece)
-            self.starts.append(len(self.pool))
-            self.sizes.append(len(ids))
-            # 1: may not follow a cut, 2: may not stand before one.
-            self.flags.append((not piece or piece[0].isspace()) + 2 * (not piece or piece[-1].isspace()))
-            self.pool.extend(ids)
+        at = known[piece] = len(self.starts)
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(ids))
+        # 1: may not follow a cut, 2: may not stand before one.
+        self.flags.append((not piece or piece[0].isspace()) + 2 * (not piece or piece[-1].isspace()))
+        self.pool.extend(ids)
+        return at
+
+    def _places(self, pieces: list[str], known: dict[str, int], before: str) -> np.ndarray:
+        at = np.array([known.get(p, -1) for p in pieces], dtype=np.int64)
+        for k in np.flatnonzero(at < 0).tolist():
+            p = pieces[k]
+            at[k] = known[p] if p in known else self._learn(p, known, before)
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +220,7 @@ class Encoder:
         if not self.in_pieces:
             ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([x for one in ids for x in one], dtype=np.uint32), np.array([len(one) for one in ids], dtype=np.int64)
-        if len(self.inner) + len(self.first) > KEPT_PIECES or len(self.tokens) > KEPT_PIECES:
+        if len(self.inner) + len(self.first) > KEPT_PIECES:
             self._empty()
         places, counts = self._pieces(texts)
         starts, sizes, pool = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.pool or array("I", [0]), np.uint32)
@@ -207,7 +237,7 @@ class Encoder:
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = split.flatten()
         coded = flat.dictionary_encode()
-        known = np.fromiter((self._place(w, self.inner, " ") for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        known = self._places(_strings(coded.dictionary), self.inner, " ")
         places = known[coded.indices.to_numpy(zero_copy_only=False)]
         last = np.cumsum(counts) - 1
         begin = last - counts + 1
@@ -218,7 +248,7 @@ class Encoder:
         inside[begin], inside[last] = True, False
         wrong |= inside & ((flags & 2) > 0)
         del flags
-        places[begin] = [self._place(w, self.first, "") for w in flat.take(pa.array(begin)).to_pylist()]
+        places[begin] = self._places(_strings(flat.take(pa.array(begin))), self.first, "")
         if not wrong.any():
             return places, counts
         # Texts with other white space than single spaces are cut where two characters let it.
@@ -228,7 +258,7 @@ class Encoder:
         more, whose = [], []
         for k in hard.tolist():
             one, *rest = BETWEEN.split(texts[k].as_py())
-            more += [self._place(one, self.first, ""), *(self._place(w, self.inner, " ") for w in rest)]
+            more += [*self._places([one], self.first, ""), *self._places(rest, self.inner, " ")]
             whose += [k] * (1 + len(rest))
             counts[k] = 1 + len(rest)
         owner = np.concatenate([owner[keep], np.array(whose, dtype=owner.dtype)])
