@@ -46,14 +46,14 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.withColumn("_raw_short", F.col("_broken").isNotNull()).drop("_broken")
 
 
-def _renamed(raw: DataFrame, wanted: dict[str, str]) -> DataFrame:
+def _renamed(raw: DataFrame, wanted: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     found = {c.strip().lower(): c for c in raw.columns}
     missing = [w for w in wanted if w.lower() not in found]
     if missing:
         raise ValueError(f"columns are missing: {missing}")
     kept = [F.col(f"`{found[w.lower()]}`").alias(n) for w, n in wanted.items()]
     short = F.col("_raw_short") if "_raw_short" in raw.columns else F.lit(False)
-    return raw.select(*kept, short.alias("_short"))
+    return raw.select(*kept, *[F.col(f"`{k}`") for k in keep], short.alias("_short"))
 
 
 def _first(*checks: tuple[Column, str]) -> Column:
@@ -63,13 +63,13 @@ def _first(*checks: tuple[Column, str]) -> Column:
     return out
 
 
-def parse_prices(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(prices, rejects, all rows parsed with ``_error`` and ``_priced``).
+def parse_prices(raw: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prices, rejects, all rows parsed with ``_error`` and ``_priced``); columns of ``keep`` go along.
 
     The order of the checks is that of the contract: a row without any price is
     left out before its day is looked at, and is no reject.
     """
-    rows = _renamed(raw, PRICE_COLUMNS)
+    rows = _renamed(raw, PRICE_COLUMNS, keep)
     money = {"regular_price": "decimal(12,2)", "discounted_price": "decimal(12,2)", "unit_price": "decimal(14,4)", "vat_rate": "decimal(5,2)"}
     days = ("price_date", "discount_start", "discount_end")
     texts = ("category_code", "category_name", "product_name", "brand", "unit", "format_name")

@@ -86,3 +86,59 @@ def test_stream_of_files(spark, tmp_path):
         price_feed.import_stream(spark, str(landing), str(tmp_path / "check"), save).awaitTermination(120)
     assert [n for _, n in seen] == [3, 2]
     assert price_feed.newest_prices(spark, str(landing)).isStreaming and price_feed.daily_averages(spark, str(landing)).isStreaming
+
+
+def _run(spark, tmp_path, read, save=lambda result: None, run_id=1):
+    return imports.run_import(spark, read, 1, run_id, "file.csv", lambda: _tables(spark), save, str(tmp_path / "audit"))
+
+
+def test_imports_leave_an_audit_row(spark, tmp_path):
+    import pytest
+
+    bad = ["A;B;Vat;b;;;F;10;;02-03-2026;;;;120", "A;B;Turned;b;;;F;10;9;02-03-2026;;05-03-2026;04-03-2026;20", "A;B;Below;b;;;F;10;;02-03-2026;-1;;;20"]
+    path = _file(tmp_path, ROWS + bad + BAD)
+    seen = []
+    save = lambda result: seen.append((result.prices.count(), sorted(r._error for r in result.rejects.collect())))
+    row = _run(spark, tmp_path, lambda: csv_files.read_csv(spark, path), save)
+    assert (row.status, str(row.snapshot_date), row.rows_read, row.rows_selected, row.rows_saved, row.rows_skipped, row.message, row.source) == ("SUCCEEDED_WITH_ERRORS", "2026-03-02", 11, 5, 2, 9, None, "file.csv")
+    assert seen == [(2, ["BAD_PRICE_DATE", "BAD_REGULAR_PRICE", "NO_PRODUCT_NAME", "SHORT_ROW", "discount_days_ordered", "unit_price_not_negative", "vat_in_range"])]
+    assert row.started_at <= row.finished_at and len(row.checksum) == 64
+    # The same rows in another order, in two files, have the same checksum; other rows have another.
+    rows = (ROWS + bad + BAD)[::-1]
+    two = [_file(tmp_path, rows[:4], "x.csv"), _file(tmp_path, rows[4:], "y.csv")]
+    assert _run(spark, tmp_path, lambda: csv_files.read_csv(spark, two), run_id=2).checksum == row.checksum
+    assert _run(spark, tmp_path, lambda: csv_files.read_csv(spark, _file(tmp_path, ROWS, "c.csv")), run_id=3).checksum != row.checksum
+
+    def broken(result):
+        raise RuntimeError("disk is full " * 200)
+
+    with pytest.raises(RuntimeError):
+        _run(spark, tmp_path, lambda: csv_files.read_csv(spark, path), broken, 4)
+    with pytest.raises(ValueError, match="nijedan"):
+        _run(spark, tmp_path, lambda: csv_files.read_csv(spark, _file(tmp_path, BAD, "bad.csv")), run_id=5)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        _run(spark, tmp_path, lambda: csv_files.read_csv(spark, str(tmp_path / "nowhere.csv")), run_id=6)
+    log = {r.id: r for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
+    assert sorted(log) == [1, 2, 3, 4, 5, 6] and [log[k].status for k in (3, 4, 5, 6)] == ["SUCCEEDED", "FAILED", "FAILED", "FAILED"]
+    assert len(log[4].message) == 1000 and (log[4].rows_read, log[4].rows_saved, log[4].rows_skipped) == (11, 0, 11)
+    assert log[5].message == imports.NOTHING_PRICED and log[5].snapshot_date is None and log[6].checksum is None and "nowhere" in log[6].message
+
+
+def test_audit_of_many_deliveries(spark, tmp_path):
+    parsed = [csv_files.parse_prices(csv_files.read_csv(spark, _file(tmp_path, rows, f"{k}.csv")))[2].selectExpr("*", f"{k} AS delivery") for k, rows in enumerate((ROWS, ROWS + BAD, BAD))]
+    got = {r.delivery: (str(r.snapshot_date), r.rows_read, r.rows_selected, r.rows_saved, r.rows_skipped, r.status) for r in imports.audit(parsed[0].unionByName(parsed[1]).unionByName(parsed[2]), ["delivery"]).collect()}
+    assert got == {0: ("2026-03-02", 3, 2, 2, 1, "SUCCEEDED"), 1: ("2026-03-02", 8, 2, 2, 6, "SUCCEEDED_WITH_ERRORS"), 2: ("None", 5, 0, 0, 5, "FAILED")}
+
+
+def test_logs_and_deletes(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, True, None), (2, True, None)], "id long, active boolean, updated_at date")
+    sinks.append_log(rows.limit(1), str(tmp_path / "log"))
+    sinks.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 3
+    told = {r.id: (r.active, r.updated_at) for r in sinks.soft_delete(rows, 2, F.lit("2026-01-01").cast("date")).collect()}
+    assert told == {1: (True, None), 2: (False, dt.date(2026, 1, 1))}
+    assert [r.id for r in sinks.delete_items(rows, [1, 9]).collect()] == [2]
