@@ -22,11 +22,11 @@ random in many dimensions hardly any cell can be ruled out, and the work is that
 of all queries against all rows, in blocks.
 
 Defined results: components become ``floor(256 * x)``, clipped to the range of a
-long, as is a score beyond it. Rows take no part if the id or vector is null, if a
-component is null or not finite, or if the length is not the commonest one (the
-longer, in a tie). Repeated rows are as many candidates, and a repeated query row
-brings each of its candidates as often. A row is no answer to a query with its
-own id. Ties go to the smaller id; queries with fewer candidates than k return all.
+long, as is a score beyond it. Rows take no part if the id or vector is null or if a
+component is null or not finite. Only vectors of one length have a product, so each
+length that occurs is a space of its own, solved by itself (tables normally have one).
+Repeated rows are as many candidates, and each repeated query row has its own ranks,
+so its rows repeat as well. A row is no answer to a query with its own id. Ties go to the smaller id; queries with fewer candidates than k return all.
 Empty input gives no rows. Other columns are not read.
 """
 
@@ -64,14 +64,11 @@ def _quantised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "v": [s.astype(np.int64).tobytes() for s in scaled]})
 
 
-def _usable(rows: DataFrame, id_col: str, vec: str) -> tuple[DataFrame, int]:
+def _usable(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
     v = F.col(vec)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     good = rows.where(F.col(id_col).isNotNull() & v.isNotNull()).where(fine)
-    good = good.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    common = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    dim = common[0]["dim"] if common else 0
-    return good.where(F.size("v") == dim), dim
+    return good.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -86,7 +83,7 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-PLACED = "id long, v binary, cell int, dist double, angle double, norm double"
+PLACED = "id long, v binary, row long, cell int, dist double, angle double, norm double"
 
 
 def _cosines(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -219,7 +216,7 @@ def _meet(asked: DataFrame, placed: DataFrame, cells: Cells) -> DataFrame:
     mixed = lambda *c: F.xxhash64(*c)
     queries = asked.join(plan, F.col("cell") == F.col("to_cell")).withColumn("block", F.pmod(mixed("key"), F.col("blocks")).cast("int")).withColumn("slice", upto("slices"))
     # Other names on the data side, since both sides descend from one table.
-    data = placed.select("id", "v", "cell").join(plan, F.col("cell") == F.col("to_cell")).withColumn("to_slice", F.pmod(mixed("id", "v"), F.col("slices")).cast("int")).withColumn("to_block", upto("blocks"))
+    data = placed.select("id", "v", "row", "cell").join(plan, F.col("cell") == F.col("to_cell")).withColumn("to_slice", F.pmod(mixed("row"), F.col("slices")).cast("int")).withColumn("to_block", upto("blocks"))
     return (
         queries.select("key", "id", "v", "cell", "block", "slice").groupBy("cell", "block", "slice")
         .cogroup(data.select("id", "v", "to_cell", "to_block", "to_slice").groupBy("to_cell", "to_block", "to_slice"))
@@ -232,11 +229,19 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str =
 
     ``is_query`` is a condition on the column ``id``.
     """
-    spark = rows.sparkSession
-    good, dim = _usable(rows, id_col, vec)
-    if dim == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    exact = cut(good.mapInPandas(_quantised, "id long, v binary"), "knn-vectors")
+    good = _usable(rows, id_col, vec)
+    lengths = [r["dim"] for r in good.groupBy(F.size("v").alias("dim")).count().collect() if r["dim"] > 0]
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for dim in sorted(lengths):
+        found = _top_k(good.where(F.size("v") == dim), dim, is_query, k)
+        out = found if dim == min(lengths) else out.unionByName(found)
+    return out
+
+
+def _top_k(good: DataFrame, dim: int, is_query: Column, k: int) -> DataFrame:
+    """``top_k`` for vectors of one length."""
+    # Numbered, so that repeated rows are dealt to slices like others.
+    exact = cut(good.mapInPandas(_quantised, "id long, v binary").withColumn("row", F.monotonically_increasing_id()), "knn-vectors")
     sample = exact.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE_ROWS).toPandas()
     pivots = choose_pivots(_stack(sample["v"], dim), min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(exact.count()) // 2)))
     placed = cut(exact.mapInPandas(_assign(pivots), PLACED), "knn-placed")
@@ -251,8 +256,7 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str =
     rest = _meet(further.select("key", "id", "v", F.explode("cells").alias("cell")), placed, cells)
     pairs = first.unionByName(rest).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
     each = pairs.join(asked.select("key", F.col("id").alias("query_id"), "times"), "key").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.select("query_id", F.col("r").alias("rank"), "vec_id", "score")
 
 
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,14 +265,14 @@ def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.row, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 50 = 0 AND len(q.e) > 0
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,13 +11,14 @@ from kantar.llm import knn_join
 
 
 def brute(rows, k=5):
-    """As OP2_SQL: repeated rows are as many candidates and as many queries."""
+    """As OP2_SQL: repeated rows are as many candidates, and each query row ranks by itself."""
     ok = [(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in rows]
     long = lambda n: max(-(2**63) + 1, min(2**63 - 1, n))
-    out = set()
-    for q in {i for i, _ in ok if i % 50 == 0}:
-        scored = sorted((-long(sum(x * y for x, y in zip(a, b))), i) for j, a in ok if j == q for i, b in ok if i != q)[:k]
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+    out = Counter()
+    for q, a in ok:
+        if q % 50 == 0:
+            scored = sorted((-long(sum(x * y for x, y in zip(a, b))), i) for i, b in ok if i != q and len(a) == len(b))[:k]
+            out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scored))
     return out
 
 
@@ -32,7 +34,7 @@ def test_against_brute_force(spark, monkeypatch, small):
     rows += [rows[50], rows[50], (5000, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     exact = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = {tuple(r) for r in knn_join.top_k(df, F.col("id") % 50 == 0).collect()}
+    got = Counter(tuple(r) for r in knn_join.top_k(df, F.col("id") % 50 == 0).collect())
     assert got == brute(exact)
 
 
@@ -52,7 +54,7 @@ def test_large_components_are_exact(spark):
     rows += [(200, [1e300, -1e300, 0.0, 3.0]), (201, [1e300, 1e300, 1.0, 1.0]), (150, [0.0] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     clip = lambda x: max(-(2.0**63), min(2.0**63 - 1024, math.floor(256 * x))) / 256
-    got = {tuple(r) for r in knn_join.top_k(df, F.col("id") % 50 == 0).collect()}
+    got = Counter(tuple(r) for r in knn_join.top_k(df, F.col("id") % 50 == 0).collect())
     assert got == brute([(i, [clip(x) for x in v]) for i, v in rows])
 
 
@@ -65,7 +67,20 @@ def test_clustered_vectors_are_hardly_replicated(spark, monkeypatch):
     centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(16)]
     rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 16]]) for i in range(3200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {tuple(r) for r in knn_join.top_k(df, F.col("id") % 50 == 0).collect()}
+    got = Counter(tuple(r) for r in knn_join.top_k(df, F.col("id") % 50 == 0).collect())
     assert got == brute([(r.vec_id, r.embedding) for r in df.collect()])
     own, further = (sum(b * n for b, n in x) for x in sent)
     assert own <= 3200 and further <= 0.5 * 3200
+
+
+def test_each_length_is_a_space_of_its_own(spark, tmp_path):
+    from tests.oracle import differences
+
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3 if i % 4 else 5)]) for i in range(260)] + [(50, [0.5, 0.25, 1.0]), (50, [0.5, 0.25, 1.0]), (300, [2.0]), (350, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.repartition(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    got = Counter(tuple(r) for r in knn_join.op2_voronoi_knn(spark, str(tmp_path)).collect())
+    assert got == brute([(r.vec_id, r.embedding) for r in df.collect()])
+    assert differences(spark, knn_join.op2_voronoi_knn, knn_join.OP2_SQL, str(tmp_path)) == []
