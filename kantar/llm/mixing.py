@@ -15,9 +15,9 @@ in each block, by hashes of its own. The part takes whole blocks in that order,
 and of the last block documents as long as the budget lasts.
 
 Every document occurs once per epoch that takes it, with the epoch and its
-``place`` in [0, 1) within its source's stream; the mix is the order by place. Only
-blocks are summed along a source, and documents along a block, so a source with a
-third of all rows is spread over as many tasks as it has blocks.
+``place`` in [0, 1) within its source's stream; the mix is the order by place. Sums run
+along documents of a block, blocks of a shelf and shelves of a source, of which there are
+4,096; so a source with a third of all rows is spread over many tasks in each step.
 
 Tokens are runs of characters that are not white space. Defined results: a null
 text has none; documents without tokens use no budget and come in whole epochs
@@ -39,6 +39,8 @@ from kantar.llm.shared import cut, fresh, table
 MAX_REPEATS = 4.0
 BLOCK_TOKENS = 1 << 20
 BLOCK_DOCS = 10_000
+#: Shelves into which a source's blocks are divided by the order of an epoch, as a power of two.
+SHELVES_LOG = 12
 #: Sources up to which their budgets are broadcast; beyond, a shuffled join.
 BROADCAST_SOURCES = 100_000
 SEED = 17
@@ -133,11 +135,15 @@ def mix(
     dealt = narrow.join(held, F.col("s").eqNullSafe(F.col("source"))).withColumn("block", F.pmod("h", "blocks"))
     read = F.explode(F.sequence(F.lit(0), F.col("epochs") - F.when(F.col("part") > 0, 0).otherwise(1)))
     blocks = dealt.groupBy("s", "block", "n", "epochs", "part").agg(F.sum("tokens").alias("size"))
-    along = Window.partitionBy("s", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    along = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.xxhash64(F.lit(seed), "s", "epoch", "block")
+    turned = cut(blocks.withColumn("epoch", read).withColumn("turn", turn).withColumn("shelf", F.shiftright("turn", 64 - SHELVES_LOG)), "mix-blocks")
+    shelves = turned.groupBy("s", "epoch", "shelf").agg(F.sum("size").alias("held"))
+    shelves = shelves.withColumn("ahead", F.coalesce(F.sum("held").over(along(("s", "epoch"), ("shelf",))), F.lit(0)))
+    shelves = shelves.select(F.col("s").alias("ss"), F.col("epoch").alias("se"), F.col("shelf").alias("sh"), "ahead")
     before = (
-        blocks.withColumn("epoch", read)
-        .withColumn("turn", F.xxhash64(F.lit(seed), "s", "epoch", "block"))
-        .withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0)))
+        turned.join(shelves, F.col("s").eqNullSafe(F.col("ss")) & (F.col("epoch") == F.col("se")) & (F.col("shelf") == F.col("sh")))
+        .withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(along(("s", "epoch", "shelf"), ("turn", "block"))), F.lit(0)))
         # Blocks that start beyond the part are not read in the last epoch.
         .where((F.col("epoch") < F.col("epochs")) | (F.col("before") < F.col("part")))
         .select(F.col("s").alias("bs"), F.col("epoch").alias("be"), F.col("block").alias("bb"), "before")
