@@ -54,15 +54,24 @@ BASE = (ASSIGN, ACCESS, HEX)
 RULES = (*BASE, PEM, JWT, HOSTED)
 
 SPANS = "array<struct<start:int,kind_no:int,kind:string,stop:int>>"
+#: Matches that are gathered at a time.
+SHELF = 128
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """The spans of one rule in ``text``: pieces and matches alternate."""
+    """The spans of one rule in ``text``: pieces and matches alternate.
+
+    Places are sums over what comes before, so a fold gathers the spans: shelf by shelf, and
+    the shelves as wholes, as an array that grows by one costs its whole length each time.
+    """
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     both = F.arrays_zip(F.split(text, rule.pattern, -1).alias("piece"), matches.alias("match"))
     empty = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
     def step(acc: Column, z: Column) -> Column:
         opens = acc["at"] + F.length(z["piece"])
         closes = opens + F.coalesce(F.length(z["match"]), F.lit(0))
@@ -76,7 +85,13 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
             F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
         )
 
-    found = F.aggregate(both, start, step, lambda acc: acc["spans"])
+    def shelf(acc: Column, some: Column) -> Column:
+        held = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("spans")), step)
+        return let(held, lambda h: F.struct(h["at"].alias("at"), F.concat(acc["shelves"], F.array(h["spans"])).alias("shelves")))
+
+    shelves = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / SHELF).cast("int")), lambda k: F.slice(both, k * SHELF + 1, SHELF))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("shelves"))
+    found = F.aggregate(shelves, start, shelf, lambda acc: F.flatten(acc["shelves"]))
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(empty)
 
 

@@ -77,3 +77,13 @@ def test_query_on_whole_table(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in want) for k in range(3))
         assert r.base_sha256 == hashlib.sha256(told(want, base=True).encode()).hexdigest()
         assert r.spans == told(want)
+
+
+def test_spans_of_many_shelves(spark):
+    """More matches than are gathered at a time, at the edges of shelves too."""
+    for n in (0, 1, S.SHELF - 1, S.SHELF, S.SHELF + 1, 3 * S.SHELF + 5):
+        text = "é ".join([f"token={'x' * (i % 9)}{i}" for i in range(n)]) + " end"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        spans = S.scan_ledger(df)[0].first().spans
+        want = [(m.start(), m.end()) for m in re.finditer(r"token=([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 6]
+        assert [(x.start, x.stop) for x in spans if x.kind == "assign"] == want
