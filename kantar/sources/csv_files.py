@@ -7,10 +7,11 @@ price rows that the contract drops (those without any price).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kantar.functions import text as T
+from kantar.sources.sinks import staged
 
 # Column names of the two file contracts.
 PRICE_COLUMNS = {
@@ -46,6 +47,25 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.withColumn("_raw_short", F.col("_broken").isNotNull()).drop("_broken")
 
 
+def first_rows(raw: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of the files in the order of their names and of their rows, however they are split.
+
+    Spark numbers rows by partition, and partitions of a scan need not follow the files. So the
+    rows of each piece of a file are counted, pieces are put in order by file and offset, and
+    a row's number is its place in its piece and the rows of the pieces before. Only the counts
+    are gathered, one for each piece; no task sorts all rows.
+    """
+    piece = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    # The identifier rises along a piece.
+    rows = staged(raw.select("*", piece.alias("_piece"), F.monotonically_increasing_id().alias("_id")), "csv-rows")
+    held = rows.groupBy("_piece").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each piece of a file.
+    starts = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n).drop("_n")
+    # Identifiers of a piece follow each other without a gap, so the difference is the place.
+    return rows.join(F.broadcast(starts), "_piece").where(F.col("_before") + F.col("_id") - F.col("_least") < n).select(*raw.columns)
+
+
 def _renamed(raw: DataFrame, wanted: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     found = {c.strip().lower(): c for c in raw.columns}
     missing = [w for w in wanted if w.lower() not in found]
@@ -117,7 +137,7 @@ def parse_stores(raw: DataFrame, max_rows: int | None = None) -> tuple[DataFrame
     if max_rows is not None:
         if not 1 <= max_rows <= 10_000:
             raise ValueError("max_rows is from 1 to 10000")
-        raw = raw.limit(max_rows)
+        raw = first_rows(raw, max_rows)
     optional = [c for p in STORE_PAIRS for c in p]
     present = [c for c in optional if c in names]
     rows = _renamed(raw, {c: c for c in [*STORE_REQUIRED, *present]}).withColumns({c: F.lit(None).cast("string") for c in optional if c not in names})

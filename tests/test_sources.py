@@ -142,3 +142,25 @@ def test_logs_and_deletes(spark, tmp_path):
     told = {r.id: (r.active, r.updated_at) for r in sinks.soft_delete(rows, 2, F.lit("2026-01-01").cast("date")).collect()}
     assert told == {1: (True, None), 2: (False, dt.date(2026, 1, 1))}
     assert [r.id for r in sinks.delete_items(rows, [1, 9]).collect()] == [2]
+
+
+def test_first_rows_of_files(spark, tmp_path):
+    """The same rows whether files are read whole, split, or several by one task."""
+    from pyspark.sql import functions as F
+
+    for k in range(3):
+        (tmp_path / f"{2 - k}.csv").write_text("\n".join(["external_code;name", *(f"{2 - k}-{i};{'x' * (i % 40)}" for i in range(200))]) + "\n")
+    want = [f"{k}-{i}" for k in range(3) for i in range(200)]
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, cost in (("128m", "4m"), ("1k", "0"), ("700", "1")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            raw = spark.read.options(sep=";", header=True).csv(str(tmp_path))
+            for n in (1, 150, 200, 333, 599, 600, 1000):
+                got = [r.external_code for r in csv_files.first_rows(raw, n).collect()]
+                assert sorted(got) == sorted(want[:n]), (size, n)
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+    assert csv_files.first_rows(raw.where(F.lit(False)), 5).count() == 0
