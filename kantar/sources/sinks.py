@@ -20,20 +20,32 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/version={version:010d}")
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """The folder of this application's staged rows, in the one that driver and executors share.
+
+    That is the cluster's ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    return f"{root.rstrip('/')}/kantar-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read back.
 
     What follows starts from a file: it is worked out once however often it is
-    read, and its plan does not carry what led to it. The folder is the
-    cluster's ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+    read, and its plan does not carry what led to it. ``release`` deletes what was staged.
     """
-    conf = df.sparkSession.conf
-    root = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> bool:
+    """Delete all that this application has staged, once no result is read any more; whether there was anything."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Decisions, feedback and audit rows are only ever added."""
     df.write.mode("append").parquet(path)

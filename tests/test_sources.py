@@ -164,3 +164,12 @@ def test_first_rows_of_files(spark, tmp_path):
         for n, v in kept.items():
             spark.conf.set(n, v)
     assert csv_files.first_rows(raw.where(F.lit(False)), 5).count() == 0
+
+
+def test_staged_rows_are_released(spark):
+    from pathlib import Path
+
+    df = sinks.staged(spark.range(5), "test-release")
+    assert df.count() == 5 and Path(sinks.staging_dir(spark)).exists()
+    assert sinks.release(spark) and not Path(sinks.staging_dir(spark)).exists()
+    assert sinks.staged(spark.range(3), "test-release").count() == 3
