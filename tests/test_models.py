@@ -103,3 +103,19 @@ def test_details_of_recommendations(spark):
     assert got[1].retailer_codes == ["ZZ", "AA"] and got[1].data_as_of == day(2026, 1, 2) and [x.item_id for x in got[1]["items"]] == [1, 2, 3, 4]
     assert [(r.retailer_code, r.n, r.basket, [x.item_id for x in r["items"]]) for r in got[1].retailers] == [("ZZ", 2, Decimal("6.50"), [2, 4]), ("AA", 1, Decimal("4.00"), [3])]
     assert got[2].retailer_codes == [] and got[2].data_as_of is None and got[2].bought == 0
+
+
+def test_parameters_of_requests(spark):
+    import pytest
+
+    from kantar.operators import plans
+
+    assert plans.Costs().most_stores == 20 and plans.Costs(per_km="0").per_km == "0"
+    for wrong in ({"per_km": "-0.01"}, {"per_hour": "NaN"}, {"per_stop": "-1"}, {"km_per_hour": 0.0}, {"km_per_hour": float("inf")}, {"radius_m": -1.0}, {"most_stores": 0}, {"most_stores": 21}):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            plans.Costs(**wrong)
+    day = dt.date(2026, 3, 1)
+    rows = [(1, 44.0, 20.0, day), (2, 90.1, 20.0, day), (3, None, 20.0, day), (4, float("nan"), 20.0, None), (5, -90.0, -180.0, day), (6, 44.0, 180.5, day), (7, 44.0, float("inf"), day), (8, 44.0, 20.0, None), (9, 44.0, 20.0, dt.date(2026, 3, 2))]
+    good, rejects = plans.check_requests(spark.createDataFrame(rows, "k int, latitude double, longitude double, as_of date"), F.lit(day))
+    assert sorted(r.k for r in good.collect()) == [1, 5]
+    assert {r.k: r.reason for r in rejects.collect()} == {2: "LATITUDE", 3: "LATITUDE", 4: "LATITUDE", 6: "LONGITUDE", 7: "LONGITUDE", 8: "DATE_REQUIRED", 9: "DATE_IN_FUTURE"}
