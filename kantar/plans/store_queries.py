@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kantar.operators import stores as S
 from kantar.plans import adapters as A
 from kantar.plans.adapters import DOMAIN_SQL
+from kantar.sources import sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -71,10 +72,13 @@ POINTS_SQL = """, v_point AS (
 FROM v_point a JOIN v_point b USING (user_id)""")
 def route_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense matrix of each user's way-points: the user and the nearby stores."""
-    near = S.nearby(A.users(spark, sf_dir), A.stores(spark, sf_dir))
-    at_store = near.select(F.col("user_id").alias("trip_id"), F.concat(F.lit("STORE:"), F.col("store_id").cast("string")).alias("point_id"), F.col("to_latitude").alias("latitude"), F.col("to_longitude").alias("longitude"))
-    at_user = near.where("position = 1").select(F.col("user_id").alias("trip_id"), F.lit("USER").alias("point_id"), "latitude", "longitude")
-    return S.route_matrix(at_store.unionByName(at_user))
+    users, place = A.users(spark, sf_dir), F.struct("latitude", "longitude").alias("trip_id")
+    # Users at one place have the same way-points: one matrix a place, then a copy for each user.
+    near = sinks.staged(S.nearby_places(users, A.stores(spark, sf_dir)), "matrix-points")
+    at_store = near.select(place, F.concat(F.lit("STORE:"), F.col("store_id").cast("string")).alias("point_id"), F.col("to_latitude").alias("latitude"), F.col("to_longitude").alias("longitude"))
+    at_user = near.where("position = 1").select(place, F.lit("USER").alias("point_id"), "latitude", "longitude")
+    matrix = S.route_matrix(at_store.unionByName(at_user)).select("trip_id.*", "from_id", "to_id", "metres")
+    return S.at_places(users.withColumnRenamed("user_id", "trip_id"), matrix).select("trip_id", "from_id", "to_id", "metres")
 
 
 GREEDY_SQL = NEARBY_SQL.replace("WITH ", "", 1) + f""", v_walk AS (
@@ -92,10 +96,13 @@ FROM v_walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY steps DESC)
 
 
 def greedy_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = S.nearby(A.users(spark, sf_dir), A.stores(spark, sf_dir))
-    start = near.where("position = 1").select(F.col("user_id").alias("trip_id"), "latitude", "longitude")
-    stops = near.select(F.col("user_id").alias("trip_id"), "position", "store_id", F.col("to_latitude").alias("latitude"), F.col("to_longitude").alias("longitude"))
-    return S.greedy_route(start, stops).select("trip_id", F.concat_ws(">", F.transform("route", lambda r: r.cast("string"))).alias("route"), "metres")
+    users, place = A.users(spark, sf_dir), F.struct("latitude", "longitude").alias("trip_id")
+    # Trips that begin at one place have the same stops, so they are one walk.
+    near = sinks.staged(S.nearby_places(users, A.stores(spark, sf_dir)), "route-stops")
+    start = near.where("position = 1").select(place, "latitude", "longitude")
+    stops = near.select(place, "position", "store_id", F.col("to_latitude").alias("latitude"), F.col("to_longitude").alias("longitude"))
+    walked = S.greedy_route(start, stops).select("trip_id.*", F.concat_ws(">", F.transform("route", lambda r: r.cast("string"))).alias("route"), "metres")
+    return S.at_places(users.withColumnRenamed("user_id", "trip_id"), walked).select("trip_id", "route", "metres")
 
 
 QUERIES["greedy_route"] = greedy_route
