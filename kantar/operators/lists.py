@@ -13,6 +13,7 @@ from kantar.functions import similarity as M
 from kantar.functions.text import normalize_name
 from kantar.operators import matching
 from kantar.operators.pricing import first_by
+from kantar.sources.sinks import staged
 
 # What an item says of its match, by rule and status.
 FLEXIBLE_SENTENCES = {
@@ -67,15 +68,21 @@ def match_items(items: DataFrame, products: DataFrame, feedback: DataFrame | Non
     Confirmed items stay as they are. A flexible item takes the first of its candidates
     that meets the constraints; a client's earlier answers count for exact items only.
     """
-    open_items = items.where("matching_status <> 'CONFIRMED'").withColumn("raw", asked_text())
-    texts = open_items.select("raw").distinct().select(F.col("raw").alias("query_id"), "raw")
-    found = matching.candidates(texts, products).select(
-        F.col("query_id").alias("raw"), "rank", F.col("canonical_id").alias("candidate"), F.col("score").alias("candidate_score"), F.col("brand").alias("_brand"), F.col("base_unit").alias("_unit"), F.col("quantity_value").alias("_quantity")
+    free = F.coalesce(~_flexible() | F.col("category").isNull(), F.lit(False))
+    constraints = ("required_brand", "required_unit", "min_pack", "max_pack")
+    # What decides an item's match, nulls among it; many items share one.
+    wish = F.struct("raw", free.alias("free"), *[F.when(~free, F.col(n)).alias(n) for n in constraints])
+    open_items = items.where("matching_status <> 'CONFIRMED'").withColumn("raw", asked_text()).withColumn("wish", wish)
+    wishes = staged(open_items.select("wish").distinct(), "list-wishes")
+    found = matching.text_candidates(wishes.select("wish.raw"), products).select(
+        "raw", "rank", F.col("canonical_id").alias("candidate"), F.col("score").alias("candidate_score"), F.col("brand").alias("_brand"), F.col("base_unit").alias("_unit"), F.col("quantity_value").alias("_quantity")
     )
-    fits = ~_flexible() | F.col("category").isNull() | meets_constraints(F.col("_brand"), F.col("_unit"), F.col("_quantity"))
-    top = first_by(open_items.join(found, "raw").where(fits), ["item_id"], ["rank"]).select("item_id", "candidate", "candidate_score")
-    told = open_items.join(top, "item_id", "left").withColumn("decided", M.decision(F.col("candidate_score")))
-    told = told.withColumn("found", F.when(F.col("decided") == "AUTO_ACCEPTED", F.col("candidate"))).withColumn("new_score", F.coalesce("candidate_score", F.lit(0)).cast("decimal(5,4)"))
+    fits = F.col("free") | meets_constraints(F.col("_brand"), F.col("_unit"), F.col("_quantity"))
+    top = first_by(wishes.select("wish", "wish.*").join(found, "raw").where(fits), ["wish"], ["rank"]).select("wish", "candidate", "candidate_score")
+    decided = wishes.join(top, "wish", "left").withColumn("decided", M.decision(F.col("candidate_score")))
+    decided = decided.withColumn("found", F.when(F.col("decided") == "AUTO_ACCEPTED", F.col("candidate"))).withColumn("new_score", F.coalesce("candidate_score", F.lit(0)).cast("decimal(5,4)"))
+    # Written: its size tells Spark whether items must be shuffled to it.
+    told = open_items.join(staged(decided, "list-decided"), "wish")
     if feedback is not None:
         last = first_by(feedback, ["client", "query"], [F.desc("feedback_id")]).select("client", "query", "action", F.col("canonical_id").alias("chosen"))
         told = told.withColumn("query", normalize_name(F.col("raw"))).join(last, ["client", "query"], "left")

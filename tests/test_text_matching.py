@@ -9,7 +9,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from kantar.operators import ledger, matching
+from kantar.operators import ledger, lists, matching
 
 PRODUCTS = "canonical_id long, name string, brand string, quantity_value decimal(14,4), base_unit string"
 
@@ -74,3 +74,26 @@ def test_feedback_without_a_product_is_not_one_key(plain):
     assert (rows.count(), rows.where("decided").count(), rows.where("exists").count()) == (400, 400, 50)
     bare = rows.where("canonical_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in bare) < 150
+
+
+def test_items_are_not_multiplied_by_candidates(plain, capsys):
+    """A wish is decided once; items, confirmed ones apart, only meet what was decided."""
+    known = plain.createDataFrame([(1, "red cup", "Acme", D(5), "g"), (2, "red cup", "Other", D(9), "g"), (3, "red cap", "Acme", D(9), None)], PRODUCTS)
+    wishes = [("red cup", "EXACT_PRODUCT", None, None, None, None, None), ("x", "FLEXIBLE_CATEGORY", "red", "Acme", None, D(8), None), ("x", "FLEXIBLE_CATEGORY", "red", "Acme", "g", None, D(8)), ("red cup Acme", "FLEXIBLE_CATEGORY", None, "Other", None, None, None)]
+    rows = [(n, name, rule, "CONFIRMED" if n % 10 == 9 else "PENDING", 7, D(1), *rest) for n in range(40) for name, rule, *rest in [wishes[n % 4]]]
+    items = plain.createDataFrame(rows, "item_id long, requested_name string, matching_rule string, matching_status string, canonical_id long, score decimal(5,4), category string, required_brand string, required_unit string, min_pack decimal(14,4), max_pack decimal(14,4)")
+    told = lists.match_items(items, known)
+    got = {r.item_id: (r.matching_status, r.score) for r in told.collect()}
+    whole = {k: got[k] for k in range(4)}
+    assert len(got) == 40 and got == {n: ("CONFIRMED", D("1.0000")) if n % 10 == 9 else whole[n % 4] for n in range(40)}
+    # By name 0.4118; the category with its brand by a part of that, and the brand; a free one by the whole name and the brand.
+    assert [s for _, s in whole.values()][0] == D("0.4118") and all(s > D("0.2941") for _, s in list(whole.values())[1:])
+    assert not any(x.startswith("item_id") for x in _dealt(told, capsys))
+
+
+def test_texts_in_sql_are_those_of_a_product(plain, capsys):
+    from kantar.plans import catalog
+
+    catalog.QUERIES["prices_in_sql"](plain, "/root/testdata/sf0.001").explain()
+    told = capsys.readouterr().out
+    assert "regexp_replace" not in told[: told.index("Join")].lower() and "regexp_replace" in told.lower()
