@@ -131,8 +131,8 @@ def _absent(c: Column) -> Column:
     return c.isNull() | F.lower(c).isin("-", "null", "n/a")
 
 
-def parse_decimal(c: Column, kind: str = "decimal(12,2)") -> Column:
-    """A number as people write it: the last comma or dot is the decimal point. Rounds half up; null if absent or wrong."""
+def clean_decimal(text: Column, kind: str = "decimal(12,2)") -> Column:
+    """``parse_decimal`` of what ``clean_text`` gave."""
     scale = int(kind.rstrip(")").split(",")[1])
     only = lambda text, sep: F.regexp_replace(text, rf"[{sep}](?=.*[{sep}])", "")
 
@@ -148,7 +148,17 @@ def parse_decimal(c: Column, kind: str = "decimal(12,2)") -> Column:
         )
         return F.round(plain.try_cast(f"decimal(24,{scale + 6})"), scale).cast(kind)
 
-    return let(clean_text(c), lambda text: F.when(~_absent(text), let(F.regexp_replace(text, "[\u00a0 ]", ""), number)))
+    return F.when(~_absent(text), let(F.regexp_replace(text, "[\u00a0 ]", ""), number))
+
+
+def parse_decimal(c: Column, kind: str = "decimal(12,2)") -> Column:
+    """A number as people write it: the last comma or dot is the decimal point. Rounds half up; null if absent or wrong."""
+    return let(clean_text(c), lambda text: clean_decimal(text, kind))
+
+
+def clean_decimal_is_wrong(text: Column, number: Column) -> Column:
+    """``decimal_is_wrong`` of what ``clean_text`` and, as decimal(24,6), ``clean_decimal`` gave."""
+    return ~_absent(text) & number.isNull()
 
 
 def decimal_is_wrong(c: Column) -> Column:
@@ -156,9 +166,8 @@ def decimal_is_wrong(c: Column) -> Column:
     return ~_absent(clean_text(c)) & parse_decimal(c, "decimal(24,6)").isNull()
 
 
-def parse_date(c: Column) -> Column:
-    """dd-MM-yyyy; a day beyond the end of its month is its last day, as lenient parsers have it. Null if wrong."""
-    text = strip_space(c)
+def clean_date(text: Column) -> Column:
+    """``parse_date`` of what ``clean_text`` gave: days have no white space in them."""
     shaped = text.rlike(r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$")
     day, month, year = (F.substring(text, a, n).try_cast("int") for a, n in ((1, 2), (4, 2), (7, 4)))
     fine = shaped & day.between(1, 31) & month.between(1, 12) & (year > 0)
@@ -166,6 +175,11 @@ def parse_date(c: Column) -> Column:
     return F.date_add(first, F.least(day, F.day(F.last_day(first))) - 1)
 
 
+def parse_date(c: Column) -> Column:
+    """dd-MM-yyyy; a day beyond the end of its month is its last day, as lenient parsers have it. Null if wrong."""
+    return clean_date(strip_space(c))
+
+
 def parse_active(c: Column) -> Column:
     """Yes and no in Serbian and English; blank is yes, anything else null."""
     text = F.lower(strip_space(F.coalesce(c, F.lit(""))))

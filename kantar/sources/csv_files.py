@@ -92,28 +92,31 @@ def parse_prices(raw: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame,
     rows = _renamed(raw, PRICE_COLUMNS, keep)
     money = {"regular_price": "decimal(12,2)", "discounted_price": "decimal(12,2)", "unit_price": "decimal(14,4)", "vat_rate": "decimal(5,2)"}
     days = ("price_date", "discount_start", "discount_end")
-    texts = ("category_code", "category_name", "product_name", "brand", "unit", "format_name")
-    wrong_day = lambda c: T.clean_text(F.col(c)).isNotNull() & T.parse_date(F.col(c)).isNull()
-    priced = T.parse_decimal(F.col("regular_price"), "decimal(24,6)").isNotNull() | T.parse_decimal(F.col("discounted_price"), "decimal(24,6)").isNotNull()
+    # Texts are cleaned, and numbers and days read, in steps of their own: checks and results ask for them more than once.
+    clean = rows.withColumns({n: T.clean_text(F.col(n)) for n in PRICE_COLUMNS.values()})
+    read = clean.withColumns({f"_n_{n}": T.clean_decimal(F.col(n), "decimal(24,6)") for n in money} | {f"_d_{n}": T.clean_date(F.col(n)) for n in days})
+    wrong_number = lambda n: T.clean_decimal_is_wrong(F.col(n), F.col(f"_n_{n}"))
+    wrong_day = lambda n: F.col(n).isNotNull() & F.col(f"_d_{n}").isNull()
+    priced = F.col("_n_regular_price").isNotNull() | F.col("_n_discounted_price").isNotNull()
     error = _first(
         (F.col("_short"), "SHORT_ROW"),
-        (T.clean_text(F.col("product_name")).isNull(), "NO_PRODUCT_NAME"),
-        (T.clean_text(F.col("format_name")).isNull(), "NO_FORMAT_NAME"),
-        (T.decimal_is_wrong(F.col("regular_price")), "BAD_REGULAR_PRICE"),
-        (T.decimal_is_wrong(F.col("discounted_price")), "BAD_DISCOUNTED_PRICE"),
+        (F.col("product_name").isNull(), "NO_PRODUCT_NAME"),
+        (F.col("format_name").isNull(), "NO_FORMAT_NAME"),
+        (wrong_number("regular_price"), "BAD_REGULAR_PRICE"),
+        (wrong_number("discounted_price"), "BAD_DISCOUNTED_PRICE"),
         (~priced, None),
-        (T.clean_text(F.col("price_date")).isNull(), "NO_PRICE_DATE"),
+        (F.col("price_date").isNull(), "NO_PRICE_DATE"),
         (wrong_day("price_date"), "BAD_PRICE_DATE"),
-        (T.decimal_is_wrong(F.col("unit_price")), "BAD_UNIT_PRICE"),
+        (wrong_number("unit_price"), "BAD_UNIT_PRICE"),
         (wrong_day("discount_start"), "BAD_DISCOUNT_START"),
         (wrong_day("discount_end"), "BAD_DISCOUNT_END"),
-        (T.decimal_is_wrong(F.col("vat_rate")), "BAD_VAT_RATE"),
+        (wrong_number("vat_rate"), "BAD_VAT_RATE"),
     )
-    parsed = rows.withColumns({"_error": error, "_priced": priced}).withColumns(
-        {c: T.parse_decimal(F.col(c), k) for c, k in money.items()} | {c: T.parse_date(F.col(c)) for c in days} | {c: T.clean_text(F.col(c)) for c in texts} | {"barcode": T.normalize_barcode(F.col("barcode"))}
+    parsed = read.withColumns({"_error": error, "_priced": priced}).withColumns(
+        {n: T.clean_decimal(F.col(n), k) for n, k in money.items()} | {n: F.col(f"_d_{n}") for n in days} | {"barcode": T.normalize_barcode(F.col("barcode"))}
     )
     key = T.source_product_key(*[F.col(c) for c in ("barcode", "product_name", "brand", "unit", "category_code")])
-    parsed = parsed.withColumn("source_product_key", key).drop("_short")
+    parsed = parsed.withColumn("source_product_key", key).drop("_short", *[f"_n_{n}" for n in money], *[f"_d_{n}" for n in days])
     return *split_parsed(parsed), parsed
 
 

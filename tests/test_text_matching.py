@@ -97,3 +97,22 @@ def test_texts_in_sql_are_those_of_a_product(plain, capsys):
     catalog.QUERIES["prices_in_sql"](plain, "/root/testdata/sf0.001").explain()
     told = capsys.readouterr().out
     assert "regexp_replace" not in told[: told.index("Join")].lower() and "regexp_replace" in told.lower()
+
+
+def test_price_lists_are_read_once_a_value(spark):
+    """Each text is cleaned in a step of its own; odd values come to what the functions of one column say."""
+    from kantar.functions import text as T
+    from kantar.sources import csv_files
+
+    odd = [None, "", " \u001c", " - ", "n/a", "1.234,50", "1 234,5 ", "12,,3", "x", "31-02-2026", " 01-01-2026\t", "01- 01-2026", "40-01-2026", "0012 "]
+    names = list(csv_files.PRICE_COLUMNS)
+    raw = spark.createDataFrame([[odd[(k * (j + 1) + j) % len(odd)] for j in range(len(names))] for k in range(60)], ", ".join(f"`{n}` string" for n in names))
+    kept = raw.select("*", *[F.col(f"`{n}`").alias(f"was_{v}") for n, v in csv_files.PRICE_COLUMNS.items()])
+    told = csv_files.parse_prices(kept, keep=tuple(f"was_{v}" for v in csv_files.PRICE_COLUMNS.values()))[2]
+    kinds = {"regular_price": "decimal(12,2)", "discounted_price": "decimal(12,2)", "unit_price": "decimal(14,4)", "vat_rate": "decimal(5,2)"}
+    plain = lambda n: T.parse_decimal(F.col(f"was_{n}"), kinds[n]) if n in kinds else T.parse_date(F.col(f"was_{n}")) if n in ("price_date", "discount_start", "discount_end") else T.normalize_barcode(F.col(f"was_{n}")) if n == "barcode" else T.clean_text(F.col(f"was_{n}"))
+    same = [F.col(n).eqNullSafe(plain(n)).alias(n) for n in csv_files.PRICE_COLUMNS.values()]
+    rows = told.select(*same, "_error").collect()
+    assert len(rows) == 60 and all(r[n] for r in rows for n in csv_files.PRICE_COLUMNS.values()) and {"BAD_REGULAR_PRICE", "NO_PRODUCT_NAME", None} <= {r._error for r in rows}
+    asked = csv_files.parse_prices(raw)[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert asked.count("regexp_replace") < 150, asked.count("regexp_replace")
