@@ -47,6 +47,23 @@ def test_logs_of_commands_go_on_where_their_ids_would_leave_64_bits(spark, tmp_p
             assert there.select("item_id").distinct().count() == here.select("item_id").distinct().count()
 
 
+@pytest.fixture(scope="module")
+def list_zero(tmp_path_factory):
+    """Tables where order 0 has lines that make a list, twice, and add to it: the new list's number, minus its order's, is the ended list's."""
+    to = tmp_path_factory.mktemp("zero")
+    told = ", ".join(f"({p}, {n}, {q})" for p, n, q in [(8, 1, 5.0), (20, 2, 5.0), (9, 2, 6.0), (21, 3, 7.0), (45, 2, 1.0)])
+    with duckdb.connect() as db:
+        for path in WHERE.glob("*.parquet"):
+            more = f" UNION ALL SELECT y.* REPLACE (0::BIGINT AS l_orderkey, x.p::BIGINT AS l_partkey, x.n::INT AS l_linenumber, x.q::DOUBLE AS l_quantity) FROM (SELECT * FROM '{path}' LIMIT 1) y, (VALUES {told}) x(p, n, q)"
+            db.execute(f"COPY (SELECT * FROM '{path}'{more if path.stem == 'lineitem' else ''}) TO '{to / path.name}' (FORMAT parquet)")
+    return str(to)
+
+
+@pytest.mark.parametrize("name", ["list_command_rejects", "apply_list_commands", "apply_item_commands"])
+def test_equals_sql_where_list_zero_is_made_anew(spark, list_zero, name):
+    assert differences(spark, catalog.QUERIES[name], catalog.ORACLE[name], list_zero) == []
+
+
 def test_commands_that_share_a_place_in_the_log_make_one_list(spark):
     row = lambda seq, action, **more: {"seq": seq, "client": "a", "action": action, "list_id": 5, "name": "n"} | more
     log = [row(1, "CREATE"), row(1, "CREATE"), row(2, "CREATE"), row(2, "CREATE"), row(3, "RENAME", client="b")]
