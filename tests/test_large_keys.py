@@ -6,9 +6,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kantar.operators import list_log
 from kantar.plans import catalog
+from kantar.plans.adapters import WIDE
 from tests.oracle import differences
 
 WHERE = Path("/root/testdata/sf0.001")
@@ -47,6 +49,32 @@ def test_logs_of_commands_go_on_where_their_ids_would_leave_64_bits(spark, tmp_p
             assert there.select("item_id").distinct().count() == here.select("item_id").distinct().count()
 
 
+#: As in tables 360 times sf0.1; such a line's id needs more than 64 bits.
+FAR_ORDERS = 54_000_000
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    return _moved_tables(tmp_path_factory.mktemp("far"), FAR_ORDERS)
+
+
+def _hugeint(sql):
+    """The SQL over whole numbers of 128 bits, in which ids fit; nothing else is changed."""
+    return sql.replace("((l_orderkey * 1000000", "((CAST(l_orderkey AS HUGEINT) * 1000000").replace("[0]::BIGINT[] AS seen", "[0]::HUGEINT[] AS seen")
+
+
+@pytest.mark.parametrize("name", [
+    "location_options", "location_recommendation", "resolve_match", "resolve_match_feedback", "resolve_match_rejects", "apply_item_commands",
+    "retailer_baskets", "apply_list_commands", "basket_recommendation", "list_command_rejects",
+])
+def test_equals_sql_of_wider_ids_where_ids_leave_64_bits(spark, far, name):
+    """The SQL itself ends with an error there; with ids of 128 bits it says what is right."""
+    whole = lambda spark, where: (told := catalog.QUERIES[name](spark, where)).select(*[F.col(n).cast("string").alias(n) if t == WIDE else n for n, t in told.dtypes])
+    ids = [n for n, t in catalog.QUERIES[name](spark, far).dtypes if t == WIDE]
+    sql = f"SELECT * REPLACE ({', '.join(f'{n}::VARCHAR AS {n}' for n in ids)}) FROM ({_hugeint(catalog.ORACLE[name])})" if ids else _hugeint(catalog.ORACLE[name])
+    assert differences(spark, whole, sql, far) == []
+
+
 @pytest.fixture(scope="module")
 def list_zero(tmp_path_factory):
     """Tables where order 0 has lines that make a list, twice, and add to it: the new list's number, minus its order's, is the ended list's."""
